@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quantide.llm import quality
+from quantide.llm import bpe, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
