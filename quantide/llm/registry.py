@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quantide.llm import bpe, quality, secrets
+from quantide.llm import bpe, html_text, mixing, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_transactions": warc.op1_warc_transactions,
+        "op2_poisson_mix": mixing.op2_poisson_mix,
+        "op3_main_text": html_text.op3_main_text,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op10_quality_rules": quality.op10_quality_rules,
@@ -15,5 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_warc_transactions": warc.ORACLE,
+        "op2_poisson_mix": mixing.ORACLE,
         "op10_quality_rules": quality.ORACLE,
     }
