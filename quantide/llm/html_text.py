@@ -7,7 +7,7 @@ text-to-tag ratio is its characters over its tags. The ratios, in page order, ar
 smoothed with a Gaussian kernel, and a threshold (the smoothed ratios' standard
 deviation, at least ``floor``) splits lines in two clusters; runs of lines above it
 are content regions. Regions are widened to the short lines inside the element that
-holds them, so that a one-word paragraph or heading between content lines is not
+holds them, so that a one-word paragraph or heading beside content lines is not
 lost. What stands in menus, headers, footers, asides, forms, scripts, styles,
 notices, adverts or reader comments, by tag, role, class or id, is no line at all.
 
@@ -45,18 +45,21 @@ MARKS = frozenset(
 HOLDERS = ("article", "main")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: blocks that are parts of a text, not containers of one
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption details summary center address hr".split())
 #: closed by the start of another of their kind
 _SELF_CLOSING = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
+def marked(attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
+    """Whether an element isn't part of the article; ``inside``: it stands in one, where a header is a heading."""
     for name, value in attrs:
         if not value:
             if name == "hidden":
                 return True
             continue
         if name in ("class", "id"):
-            if any(w.lower() in MARKS for w in _WORD.findall(value)):
+            if any(w.lower() in MARKS and not (inside and w.lower() == "header") for w in _WORD.findall(value)):
                 return True
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -64,12 +67,14 @@ def marked(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, characters inside links, number of the article element or 0)."""
+    """Collects lines: (text, tags, characters inside links, articles open, number of the container)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.stack: list[tuple[str, bool]] = []
+        self.containers: list[int] = [0]
+        self.opened = 0
         self.skipping = self.links = self.holders = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -77,7 +82,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.holders))
+            self.lines.append((text, self.tags, self.linked, self.holders, self.containers[-1]))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,20 +104,28 @@ class Lines(HTMLParser):
                     break
                 if open_tag in BLOCKS:
                     break
-        skip = tag in SKIPPED or marked(attrs) and tag not in ("html", "body", "article", "main")
-        if skip and tag == "header" and any(t in HOLDERS for t, _ in self.stack) and not marked(attrs):
-            skip = False  # a heading of the article itself
+        # a header inside the article is its own heading
+        skip = tag in SKIPPED and not (tag == "header" and self.holders) or tag not in ("html", "body", "article", "main") and marked(attrs, self.holders > 0)
         self.stack.append((tag, skip))
+        if self.is_container(tag):
+            self.opened += 1
+            self.containers.append(self.opened)
         self.skipping += skip
         self.tags += 1
         self.links += tag == "a"
         self.holders += tag in HOLDERS
 
+    @staticmethod
+    def is_container(tag: str) -> bool:
+        return tag in BLOCKS and tag not in _TEXTUAL
+
     def close_to(self, k: int) -> None:
         if not self.skipping and any(t in BLOCKS for t, _ in self.stack[k:]):
             self.flush()
         for tag, skip in self.stack[k:]:
             self.skipping -= skip
+            if self.is_container(tag):
+                self.containers.pop()
             self.links -= tag == "a"
             self.holders -= tag in HOLDERS
         del self.stack[k:]
@@ -142,28 +155,25 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, floor: float = 10.0) -> list[str]:
+def content(lines: list[tuple[str, int, int, int, int]], sigma: float = 1.0, floor: float = 10.0) -> list[str]:
     """The texts of the lines in content regions."""
     held = [x for x in lines if x[3]]
     pool = held or lines
     if not pool:
         return []
-    ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, linked, _ in pool], dtype=float)
+    ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, linked, *_ in pool], dtype=float)
     smooth = smoothed(ratio, sigma)
     threshold = min(max(floor, float(smooth.std())), float(smooth.max()))
     above = smooth >= threshold
     if held:
         # the author marked the article: only lines of links with no content beside them are outside its regions
-        menu = np.array([linked > 0.6 * len(t) for t, _, linked, _ in pool])
+        menu = np.array([linked > 0.6 * len(t) for t, _, linked, *_ in pool])
         above = above | ~menu
     else:
-        # short lines between content lines belong to the region, unless they are mostly links
-        at = np.flatnonzero(above)
-        if len(at):
-            inside = np.zeros(len(pool), bool)
-            inside[at[0] : at[-1] + 1] = True
-            above = above | inside & np.array([linked <= 0.5 * len(t) for t, _, linked, _ in pool])
-    return [t for (t, _, _, _), keep in zip(pool, above, strict=True) if keep]
+        # other lines of the same containers belong to the region, unless they are mostly links
+        regions = {x[4] for x, up in zip(pool, above, strict=True) if up}
+        above = above | np.array([x[4] in regions and x[2] <= 0.5 * len(x[0]) for x in pool])
+    return [t for (t, *_), keep in zip(pool, above, strict=True) if keep]
 
 
 def main_text(html: str | None) -> str:

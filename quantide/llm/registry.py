@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantide.llm import bpe, html_text, mixing, quality, secrets, warc
+from quantide.llm import bpe, html_text, mixing, near_dedup, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc_transactions": warc.op1_warc_transactions,
         "op2_poisson_mix": mixing.op2_poisson_mix,
         "op3_main_text": html_text.op3_main_text,
+        "op4_near_duplicates": near_dedup.op4_near_duplicates,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op10_quality_rules": quality.op10_quality_rules,
