@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantide.llm import bpe, html_text, mixing, near_dedup, quality, secrets, warc
+from quantide.llm import bpe, html_text, mixing, near_dedup, quality, secrets, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_poisson_mix": mixing.op2_poisson_mix,
         "op3_main_text": html_text.op3_main_text,
         "op4_near_duplicates": near_dedup.op4_near_duplicates,
+        "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
@@ -21,5 +23,6 @@ def oracle_sql() -> dict:
     return {
         "op1_warc_transactions": warc.ORACLE,
         "op2_poisson_mix": mixing.ORACLE,
+        "op6_exact_top_k": topk.ORACLE,
         "op10_quality_rules": quality.ORACLE,
     }
