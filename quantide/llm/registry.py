@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantide.llm import bpe, html_text, mixing, near_dedup, quality, secrets, token_counts, topk, warc
+from quantide.llm import bpe, html_text, licenses, mixing, near_dedup, quality, secrets, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_poisson_mix": mixing.op2_poisson_mix,
         "op3_main_text": html_text.op3_main_text,
         "op4_near_duplicates": near_dedup.op4_near_duplicates,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_secret_scan": secrets.op8_secret_scan,
