@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantide.llm.common import shared_path, table
+from quantide.llm.common import BROADCAST_ROWS, shared_path, stored, table
 
 CRLF = "\r\n"
 #: captures in one archive file; with a page of 4 kB this is some 8 MB before compression
@@ -61,8 +61,10 @@ def typed(pages: DataFrame, key: str = "page_id", payload: str = "html", url: st
     p = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     first = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("payload_digest", "first")
-    out = p.join(first, "payload_digest", "left")
+    first = stored(first.where("n > 1").select("payload_digest", "first"), "repeated-payloads")
+    # few repeated payloads are broadcast, so that payloads aren't shuffled; the aggregate above has counted them
+    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = p.join(F.broadcast(first) if few else first, "payload_digest", "left")
     revisit = F.coalesce(F.col("key") != F.col("first"), F.lit(False))
     return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
