@@ -126,7 +126,10 @@ def valid_tickers(text: str, most: int = 100) -> list[str]:
 
 def unique_in_order(items: Iterable[str], fold: bool = False) -> list[str]:
     """Items without repeats, first ones kept; ``fold`` ignores case."""
-    return list({(x.lower() if fold else x): x for x in reversed(list(items))}.values())[::-1]
+    first: dict[str, str] = {}
+    for x in items:
+        first.setdefault(x.lower() if fold else x, x)
+    return list(first.values())
 
 
 def valid_interval(interval: str) -> str:

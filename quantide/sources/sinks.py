@@ -26,7 +26,7 @@ def save_bars(store: BarStore, bars: DataFrame, interval: str, source: str, vali
     entries = manifest(bars, interval, source)
     if validate and not (bad := violations(bars, entries)).isEmpty():
         raise ValidationError("bars break rules", found=[tuple(r) for r in bad.limit(20).collect()])
-    rows = bars.select(*[F.col(c) if c in bars.columns else F.lit(None).cast("double").alias(c) for c in BARS.names]).withColumn("interval", F.lit(interval))
+    rows = bars.select(*[(F.col(f.name) if f.name in bars.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in BARS]).withColumn("interval", F.lit(interval))
     rows.repartition("ticker").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "ticker").parquet(f"{store.root}/bars")
     known = merge_incremental(store.manifests(), entries, ("ticker", "interval"))
     # the manifest is small; it is read before its folder is replaced
