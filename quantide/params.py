@@ -59,6 +59,10 @@ class ValidationError(EngineError, ValueError):
     code = ErrorCode.VALIDATION
 
 
+class ConfigurationError(EngineError):
+    code = ErrorCode.CONFIGURATION
+
+
 class DataSourceError(EngineError):
     code = ErrorCode.DATA_SOURCE
 

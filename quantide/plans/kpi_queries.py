@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -77,6 +76,5 @@ def _stream(s, d):
     schema = ", ".join(f"{c} {t}" for c, t in I.read(s, d, "events").dtypes)
     # the pattern keeps to the one table, be it a file or a folder
     ticks = S.tick_stream(s, f"{d}/events.parque[t]", schema).withColumnRenamed("event_type", "ticker")
-    folder = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quantide-stream-")
     name = f"bars_{uuid.uuid4().hex}"
-    return S.run_to_table(S.streaming_bars(ticks), name, f"{folder}/{name}")
+    return S.run_to_table(S.streaming_bars(ticks), name, S.state_folder(s, name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quantide.operators.ingest import merge_incremental
+from quantide.params import ConfigurationError
 from quantide.sources.readers import BarStore
 from quantide.sources.sinks import save_bars
 
 
+def state_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's state below ``spark.checkpoint.dir``; a session in local mode without one gets its own."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='quantide-')).rstrip('/')}/streams/{name}"
+
+
 def tick_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Ticks from Parquet files as they arrive; ts without a zone becomes a timestamp, as watermarks need."""
     ticks = spark.readStream.schema(schema).parquet(path)
