@@ -41,6 +41,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus share sharing social related recommended recommendations pagination pager toolbar skip".split()
 )
+#: beginnings of such words, for those written in one
+MARK_STARTS = ("comment", "advert", "adsense", "adslot", "sidebar", "cookie", "newsletter", "breadcrumb", "disqus", "navig", "popup", "sponsor", "subscri", "pagina")
 #: containers that are the article when present, most specific first
 HOLDERS = ("article", "main")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -59,7 +61,8 @@ def marked(attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
                 return True
             continue
         if name in ("class", "id"):
-            if any(w.lower() in MARKS and not (inside and w.lower() == "header") for w in _WORD.findall(value)):
+            words = [w.lower() for w in _WORD.findall(value)]
+            if any(w in MARKS and not (inside and w == "header") or w.startswith(MARK_STARTS) for w in words):
                 return True
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
