@@ -131,7 +131,8 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below a folder, see ``RECORD``."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= LARGEST_FILE).select("path", "content")
+    whole = F.when(F.col("length") <= LARGEST_FILE, F.col("content")).otherwise(F.raise_error(F.lit("an archive is too large")))
+    files = spark.read.format("binaryFile").load(path).select("path", whole.alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "kind", "concurrent_to", "refers_to", "target_uri", "payload_digest", "block"]
