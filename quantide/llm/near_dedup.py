@@ -10,16 +10,19 @@ point, so two texts agree in it with a probability equal to their weighted Jacca
 similarity. Points are made only up to the time by which all components are filled.
 
 Six components make a band, 42 bands a signature: a pair at 0.8 shares none of
-them with probability 3e-6. Texts that share a band meet as follows, so that no
-group is ever expanded into all its pairs and none is cut short: in every bucket the
-members are compared with the bucket's smallest member; links join components;
-buckets whose members are in one component are done, and in the others the next
-``PIVOTS`` smallest members are compared with those of other components, until no
-bucket is left with two components and an uncompared pair. A compared pair goes
-through the whole signature first (agreement far below the threshold, see
-``LEAST_AGREEMENT``) and is then verified on the exact multisets of both texts.
-
-Components are found by alternating large-star and small-star steps, each written
+them with probability 3e-6. Of the texts that share a band with another, the
+weight of shingles that no other such text has is counted; a text with more than a
+fifth of its weight in those can't reach 0.8 with any and is done, and a pair whose
+shared weights are too small for both totals is none. The rest meet so that no
+group is expanded into all its pairs and none is cut short: in every bucket the
+members are compared with the pivot, the one with the least weight of its own; links
+join components; buckets whose members are in one component are done, and in the others
+the next pivots (see ``PIVOTS``) are compared with the members of other components
+after them, until no bucket is left with an uncompared pair of two components. A compared
+pair goes through the whole signature first (see ``LEAST_AGREEMENT``) and is then
+verified on the exact multisets of both texts.
+
+Components are found by hooking to smaller neighbours and doubling, each step written
 to the shared folder. Nothing of the corpus comes to the driver but counts.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, are one
@@ -46,10 +49,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 42, 6
 COMPONENTS = BANDS * ROWS
-#: members of a bucket that are compared with the others in one round, after the first
-PIVOTS = 32
-#: of the components: six standard deviations below what a pair at the threshold has
-LEAST_AGREEMENT = 0.64
+#: members of a bucket that are compared with the others in the first, second and each later round
+PIVOTS = (1, 32, 1024)
+#: of the components: nearly five standard deviations below what a pair at the threshold has (lost with probability 1e-6)
+LEAST_AGREEMENT = 0.68
 #: ids that are broadcast to fetch or drop documents; beyond it the documents are shuffled by id
 BROADCAST_IDS = 500_000
 
@@ -223,9 +226,8 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, digest binary, bands array<long>, sig binary")
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in enough components."""
-    a, b = reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+def _filtered(signed: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, and two signatures) that agree in enough components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,61 +235,97 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             keep = pa.array((x == y).mean(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return signed.mapInArrow(run, "a long, b long")
+
+
+def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), a > b, whose signatures agree in enough components."""
+    a, b = reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    return _filtered(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), least)
 
 
 def _few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     return ids.limit(limit + 1).count() <= limit
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """The pairs whose texts' shingle multisets overlap enough. ``pairs`` must be a stored table."""
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    source = source.join(F.broadcast(wanted) if _few(wanted) else wanted, F.col("id") == F.col("w"), "left_semi")
-    texts = stored(source, "texts")
-    j = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    j = j.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """node and text of each of the nodes (node, digest); a node is an id, or stands for rows without one."""
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(None)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = source.withColumn("digest", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
+    few = F.broadcast(nodes) if _few(nodes) else nodes
+    found = source.join(few, "digest").where("id = node or id is null").select("node", "text")
+    return stored(found.dropDuplicates(["node"]), "texts")
+
+
+def _shared_weights(texts: DataFrame) -> DataFrame:
+    """node, weight (all shingles) and shared (those that some other node has too).
+
+    Hot shingles are combined before the shuffle, and the join back may split them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, some in _chunks(batch.column(1).to_pylist()):
+                doc, shingle, count = bags(some)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at + doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32))], names=["node", "shingle", "n"])
+
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, n int")
+    held = rows.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
+    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    shared = rows.join(held, "shingle").groupBy("node").agg(F.sum("n").alias("shared"))
+    return weight.join(shared, "node")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose texts' shingle multisets overlap enough."""
+    j = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    j = j.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
             both = [t for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for t in (x, y)]
             for k in range(0, len(both), 128):
-                some = [(t or "").encode() for t in both[k : k + 128]]
+                some = [t.encode() for t in both[k : k + 128]]
                 doc, shingle, count = bags(some)
                 at = np.searchsorted(doc, np.arange(len(some) + 1))
                 bag = [(shingle[at[i] : at[i + 1]], count[at[i] : at[i + 1]]) for i in range(len(some))]
                 keep += [weighted_jaccard(bag[i], bag[i + 1]) >= threshold - 1e-12 for i in range(0, len(some), 2)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = stored(j.mapInArrow(run, "a long, b long").distinct(), "links")
-    drop_stored(texts)
-    return out
+    return stored(j.mapInArrow(run, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node that isn't the smallest of its component, from links (a, b).
 
-    Alternates large-star and small-star steps until the links no longer change.
+    Every node hooks to its smallest neighbour below it; hooks are followed to their roots by doubling; links
+    are carried over to the roots, where those inside a component vanish. At least half of the nodes with links are
+    no roots, so the rounds are logarithmic in the size of a component; stars take one.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    edges = links.where("a <> b").select("a", "b")
+    labels: DataFrame | None = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        # a link to the smallest neighbour stays; other neighbours are linked to that one
-        small = large.join(least, "u")
-        small = least.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        following = stored(small.distinct(), "edges")
-        drop_stored(edges)
-        edges = following
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        mark = now
+        both = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("comp"))
+        hooks = stored(both.groupBy("node").agg(F.min("comp").alias("comp")), "hooks")
+        while True:
+            above = hooks.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            if hooks.join(above, "comp", "left_semi").isEmpty():
+                break
+            jumped = stored(hooks.join(above, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "hooks")
+            drop_stored(hooks)
+            hooks = jumped
+        if labels is None:
+            labels = hooks
+        else:
+            above = hooks.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            labels = stored(labels.join(above, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).unionByName(hooks), "labels")
+        for side in ("a", "b"):
+            edges = edges.join(hooks.select(F.col("node").alias(side), F.col("comp").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).select("a", "b")
+        edges = stored(edges.where("a <> b").distinct(), "edges")
+        if edges.isEmpty():
+            return labels
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -301,41 +339,69 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(more), "labels")
 
 
+def _representatives(sketched: DataFrame) -> DataFrame:
+    """digest, node, bands and sig, one row per text: its smallest id stands for equal texts, a hash where there is none."""
+    reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    reps = stored(reps.select("digest", F.coalesce("id", F.xxhash64("digest")).alias("node"), "bands", "sig"), "reps")
+    # an id with several texts takes part with one of them
+    twice = stored(reps.groupBy("node").agg(F.min("digest").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "keep"), "twice")
+    if twice.isEmpty():
+        return reps
+    other = F.coalesce(F.col("digest") != F.col("keep"), F.lit(False))
+    return stored(reps.join(twice, "node", "left").select("digest", "node", F.when(~other, F.col("bands")).alias("bands"), "sig"), "reps")
+
+
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members (bucket, node, ...) of buckets with more than one component, with their component (comp)."""
+    if labels is None:
+        rows = members.withColumn("comp", F.col("node"))
+    else:
+        rows = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
+    return stored(rows.join(several, "bucket"), "members")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of the input: its id (named as the key) and class_id."""
     sketched = stored(_sketched(docs, key, text), "sketches")
-    # equal texts have equal sketches; the smallest id stands for them
-    reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
-    reps = stored(reps.select("digest", F.coalesce("id", F.xxhash64("digest")).alias("node"), "bands", "sig"), "reps")
+    reps = _representatives(sketched)
     buckets = reps.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "lo")
-    active = stored(buckets.join(shared, "bucket").where("node <> lo"), "active")
-    pairs = active.select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
-    labels, compared = None, None
+    met = buckets.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
+    members = stored(buckets.join(met, "bucket"), "members")
+    nodes = members.select("node").distinct()
+    texts = _texts(docs, stored(reps.select("node", "digest").join(nodes, "node"), "nodes"), key, text)
+    weights = stored(_shared_weights(texts).where(F.col("shared") >= threshold * F.col("weight") - 1e-9), "weights")
+    signed = stored(reps.select("node", "sig").join(weights.select("node"), "node"), "signed")
+    place = F.round(1e6 * (1 - F.col("shared") / F.col("weight"))).cast("int")
+    members = members.join(weights, "node").withColumn("place", place)
+    labels: DataFrame | None = None
+    compared: DataFrame | None = None
+    step = 0
     while True:
-        candidates = stored(_agreeing(pairs, reps, LEAST_AGREEMENT), "pairs")
-        if not candidates.isEmpty():
-            links = _verified(candidates, docs, key, text, threshold)
+        members = _mixed(members, labels)
+        if members.isEmpty():
+            break
+        most = PIVOTS[min(step, len(PIVOTS) - 1)]
+        step += 1
+        ranked = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("place", "node")))
+        pivots = stored(ranked.where(F.col("k") <= most).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared")]), "pivots")
+        # a pivot meets those after it: the ones before it have been pivots with it or earlier
+        after = (F.col("place") > F.col("p_place")) | (F.col("place") == F.col("p_place")) & (F.col("node") > F.col("p_node"))
+        # no overlap exceeds what either has in common with others
+        possible = F.least("shared", "p_shared") * (1 + threshold) >= threshold * (F.col("weight") + F.col("p_weight")) - 1e-9
+        pairs = members.join(pivots, "bucket").where((F.col("comp") != F.col("p_comp")) & after & possible)
+        pairs = pairs.select(F.greatest("node", "p_node").alias("a"), F.least("node", "p_node").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if not pairs.isEmpty():
+            agreed = stored(_agreeing(pairs, signed, LEAST_AGREEMENT), "agreed")
+            links = _verified(agreed, texts, threshold)
             if not links.isEmpty():
                 labels = _relabelled(labels, links)
-        compared = candidates if compared is None else compared.unionByName(candidates)
-        # members not compared with all others of their bucket, in buckets of more than one component
-        rest = active.select("bucket", "node")
-        if labels is not None:
-            rest = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        else:
-            rest = rest.withColumn("comp", F.col("node"))
-        mixed = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-        rest = stored(rest.join(mixed, "bucket"), "rest")
-        if rest.isEmpty():
-            break
-        pivots = rest.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("k") <= PIVOTS)
-        pivots = stored(pivots.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivots")
-        met = rest.join(pivots, "bucket").where("comp <> pivot_comp")
-        met = met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        pairs = met.join(compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        done = pivots.select("bucket", F.col("pivot").alias("node"))
-        active = stored(rest.select("bucket", "node").join(done, ["bucket", "node"], "left_anti"), "active")
+            compared = pairs if compared is None else compared.unionByName(pairs)
+        done = pivots.select("bucket", F.col("p_node").alias("node"))
+        members = members.drop("comp").join(done, ["bucket", "node"], "left_anti")
     out = sketched.select("id", "digest").join(reps.select("digest", "node"), "digest")
     if labels is not None:
         out = out.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
