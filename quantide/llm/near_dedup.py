@@ -12,14 +12,15 @@ similarity. Points are made only up to the time by which all components are fill
 Six components make a band, 42 bands a signature: a pair at 0.8 shares none of
 them with probability 3e-6. Of the texts that share a band with another, the
 weight of shingles that no other such text has is counted; a text with more than a
-fifth of its weight in those can't reach 0.8 with any and is done, and a pair whose
-shared weights are too small for both totals is none. The rest meet so that no
-group is expanded into all its pairs and none is cut short: in every bucket the
-members are compared with the pivot, the one with the least weight of its own; links
-join components; buckets whose members are in one component are done, and in the others
-the next pivots (see ``PIVOTS``) are compared with the members of other components
-after them, until no bucket is left with an uncompared pair of two components. A compared
-pair goes through the whole signature first (see ``LEAST_AGREEMENT``) and is then
+fifth of its weight in those can't reach 0.8 with any and is done. Shared weights are
+also kept by hash class of the shingle: a pair's overlap is at most the sum of the
+smaller of both in each class, and where that is too small for both totals the pair
+is none. These bounds are exact. The rest meet so that no group is expanded into all
+its pairs and none is cut short: in every bucket the members are compared with the
+pivot, the one with the least weight of its own; links join components; buckets whose
+members are in one component are done, and in the others the next pivots (see
+``PIVOTS``) are compared with the members of other components after them, until no
+bucket is left with an uncompared pair of two components. A compared pair goes through the whole signature first (see ``LEAST_AGREEMENT``) and is then
 verified on the exact multisets of both texts.
 
 Components are found by hooking to smaller neighbours and doubling, each step written
@@ -28,7 +29,7 @@ to the shared folder. Nothing of the corpus comes to the driver but counts.
 Defined results: a null text counts as empty; equal texts, empty ones too, are one
 class; words are runs of non-space characters (ASCII spaces); a text of one to four
 words is one shingle of all of them; a text without words has no near copies; the
-class id is its smallest id, null only if all its ids are null; rows that share an
+class id is its smallest id, or a hash above 2**62 if it has none; rows that share an
 id share a class; an empty table gives an empty result; extra columns are kept by
 ``keep_one`` and left alone by ``classes``.
 """
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantide.llm.common import drop_stored, stored, table
@@ -51,6 +52,8 @@ BANDS, ROWS = 42, 6
 COMPONENTS = BANDS * ROWS
 #: members of a bucket that are compared with the others in the first, second and each later round
 PIVOTS = (1, 32, 1024)
+#: hash classes by which shared weights bound a pair's overlap
+PARTS = 64
 #: of the components: nearly five standard deviations below what a pair at the threshold has (lost with probability 1e-6)
 LEAST_AGREEMENT = 0.68
 #: ids that are broadcast to fetch or drop documents; beyond it the documents are shuffled by id
@@ -250,15 +253,14 @@ def _few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
 
 def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """node and text of each of the nodes (node, digest); a node is an id, or stands for rows without one."""
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(None)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    source = source.withColumn("digest", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
+    source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", _digest(F.col("text")))
     few = F.broadcast(nodes) if _few(nodes) else nodes
     found = source.join(few, "digest").where("id = node or id is null").select("node", "text")
     return stored(found.dropDuplicates(["node"]), "texts")
 
 
 def _shared_weights(texts: DataFrame) -> DataFrame:
-    """node, weight (all shingles) and shared (those that some other node has too).
+    """node, weight (all shingles), shared (those that some other node has too) and parts (shared, by PARTS hash classes).
 
     Hot shingles are combined before the shuffle, and the join back may split them.
     """
@@ -273,8 +275,10 @@ def _shared_weights(texts: DataFrame) -> DataFrame:
     rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, n int")
     held = rows.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
     weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    shared = rows.join(held, "shingle").groupBy("node").agg(F.sum("n").alias("shared"))
-    return weight.join(shared, "node")
+    parts = rows.join(held, "shingle").groupBy("node", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.sum("n").cast("int").alias("n"))
+    shared = parts.groupBy("node").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
+    return weight.join(shared, "node").select("node", "weight", "shared", each.alias("parts"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -339,10 +343,20 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(more), "labels")
 
 
+def _digest(text: Column) -> Column:
+    """The digest that ``_sketched`` gives, from Spark functions."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _node(key: Column, digest: Column) -> Column:
+    """What stands for a text: an id, or where there is none a hash above all likely ids."""
+    return F.coalesce(key, F.shiftrightunsigned(F.xxhash64(digest), 2) + F.lit(1 << 62))
+
+
 def _representatives(sketched: DataFrame) -> DataFrame:
     """digest, node, bands and sig, one row per text: its smallest id stands for equal texts, a hash where there is none."""
     reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
-    reps = stored(reps.select("digest", F.coalesce("id", F.xxhash64("digest")).alias("node"), "bands", "sig"), "reps")
+    reps = stored(reps.select("digest", _node(F.col("id"), F.col("digest")).alias("node"), "bands", "sig"), "reps")
     # an id with several texts takes part with one of them
     twice = stored(reps.groupBy("node").agg(F.min("digest").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "keep"), "twice")
     if twice.isEmpty():
@@ -361,8 +375,8 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return stored(rows.join(several, "bucket"), "members")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of the input: its id (named as the key) and class_id."""
+def _classified(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """id, node (what stands for the row) and comp (its class) of each row."""
     sketched = stored(_sketched(docs, key, text), "sketches")
     reps = _representatives(sketched)
     buckets = reps.select("node", F.explode("bands").alias("bucket"))
@@ -384,11 +398,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         most = PIVOTS[min(step, len(PIVOTS) - 1)]
         step += 1
         ranked = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("place", "node")))
-        pivots = stored(ranked.where(F.col("k") <= most).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared")]), "pivots")
+        pivots = stored(ranked.where(F.col("k") <= most).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared", "parts")]), "pivots")
         # a pivot meets those after it: the ones before it have been pivots with it or earlier
         after = (F.col("place") > F.col("p_place")) | (F.col("place") == F.col("p_place")) & (F.col("node") > F.col("p_node"))
         # no overlap exceeds what either has in common with others
-        possible = F.least("shared", "p_shared") * (1 + threshold) >= threshold * (F.col("weight") + F.col("p_weight")) - 1e-9
+        least = threshold / (1 + threshold) * (F.col("weight") + F.col("p_weight")) - 1e-9
+        overlap = F.aggregate(F.zip_with("parts", "p_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+        possible = (F.least("shared", "p_shared") >= least) & (overlap >= least)
         pairs = members.join(pivots, "bucket").where((F.col("comp") != F.col("p_comp")) & after & possible)
         pairs = pairs.select(F.greatest("node", "p_node").alias("a"), F.least("node", "p_node").alias("b")).distinct()
         if compared is not None:
@@ -402,26 +418,33 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
             compared = pairs if compared is None else compared.unionByName(pairs)
         done = pivots.select("bucket", F.col("p_node").alias("node"))
         members = members.drop("comp").join(done, ["bucket", "node"], "left_anti")
-    out = sketched.select("id", "digest").join(reps.select("digest", "node"), "digest")
+    out = sketched.select("id", "digest").join(reps.select("digest", F.col("node").alias("rep")), "digest")
     if labels is not None:
-        out = out.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
+        out = out.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+    else:
+        out = out.withColumn("comp", F.col("rep"))
+    return out.select("id", _node(F.col("id"), F.col("digest")).alias("node"), F.coalesce("comp", "rep").alias("comp"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of the input: its id (named as the key) and class_id."""
     kind = dict(docs.select(key).dtypes)[key]
-    return out.select(F.col("id").cast(kind).alias(key), F.col("node").cast(kind).alias("class_id"))
+    return _classified(docs, key, text, threshold).select(F.col("id").cast(kind).alias(key), F.col("comp").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class kept: that with the smallest id. All columns stay as they were."""
-    found = stored(classes(docs, key, text, threshold).withColumnRenamed(key, "_id"), "classes")
-    gone = found.where(~F.col("_id").eqNullSafe(F.col("class_id"))).select("_id").distinct()
-    kept = docs.join(F.broadcast(gone) if _few(gone) else gone, docs[key] == F.col("_id"), "left_anti")
-    # repeated rows share the id that stays: of those, one is kept
-    again = found.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("_id").count().where("count > 1").select("_id")
-    again = stored(again, "again")
+    found = stored(_classified(docs, key, text, threshold).select("node", "comp"), "classes")
+    gone = found.where("node <> comp").select("node").distinct()
+    marked = docs.withColumn("_node", _node(F.col(key).cast("long"), _digest(F.col(text))))
+    kept = marked.join(F.broadcast(gone) if _few(gone) else gone, F.col("_node") == F.col("node"), "left_anti")
+    # repeated rows stand for the same class: of those, one is kept
+    again = stored(found.where("node = comp").groupBy("node").count().where("count > 1").select(F.col("node").alias("n2")), "again")
     if again.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     few = F.broadcast(again) if _few(again) else again
-    once = kept.join(few, docs[key] == F.col("_id"), "left_semi").dropDuplicates([key])
-    return kept.join(few, docs[key] == F.col("_id"), "left_anti").unionByName(once)
+    once = kept.join(few, F.col("_node") == F.col("n2"), "left_semi").dropDuplicates(["_node"])
+    return kept.join(few, F.col("_node") == F.col("n2"), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
