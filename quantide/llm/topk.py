@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quantide.llm.common import stored, table
 
-PAGE = 64
+PAGE = 256
 TREE_ROWS = 1024
 PIVOTS = 128
 BLOCK = 256
@@ -51,12 +51,17 @@ _SAFE = 1 << 20
 _SLACK = 1e-9
 
 
+def _small(m: np.ndarray) -> bool:
+    """Whether inner products of these integers are exact in double precision (for any usual number of components)."""
+    return not m.size or int(np.abs(m).max()) <= _SAFE and m.shape[-1] <= 1 << 12
+
+
 def _dot(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows with a vector."""
-    if m.size and max(np.abs(m).max(), np.abs(q).max(initial=0)) > _SAFE:
-        exact = m.astype(object) @ q.astype(object)
-        return np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
-    return m @ q
+    """Exact integer inner products of rows with a vector, set to the nearest 64-bit number."""
+    if _small(m) and _small(q):
+        return (m.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    exact = m.astype(object) @ q.astype(object)
+    return np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
 
 
 class MTree:
@@ -117,6 +122,7 @@ class MTree:
         for e in np.flatnonzero(self.entries["leaf"]):
             a, b = self.entries["first"][e], self.entries["last"][e]
             self.reach[a:b] = np.linalg.norm(self.vectors[a:b].astype(float) - self.vectors[self.entries["centre"][e]].astype(float), axis=1)
+        self.prepare()
 
     def pages(self) -> bytes:
         out = io.BytesIO()
@@ -129,14 +135,26 @@ class MTree:
         tree = cls.__new__(cls)
         tree.ids, tree.vectors, tree.reach = z["ids"], z["vectors"], z["reach"]
         tree.entries = {k: z[k] for k in ("centre", "radius", "parent", "leaf", "first", "last")}
+        tree.prepare()
         return tree
 
+    def prepare(self) -> None:
+        """What searches share: doubles of the vectors where their products are exact, and the scale of rounding errors."""
+        e = self.entries
+        self.real = self.vectors.astype(np.float64) if _small(self.vectors) else None
+        self.scale = _SLACK * (1 + float(e["radius"].max()) + float(np.linalg.norm(self.vectors[e["centre"][0]].astype(float))))
+        self.far = e["parent"] + e["radius"]
+
+    def _products(self, rows: np.ndarray, q: np.ndarray, real: np.ndarray | None) -> np.ndarray:
+        return self.real[rows] @ real if real is not None else _dot(self.vectors[rows], q)
+
     def search(self, qid: int, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), fewer if there are fewer; those surely below ``least`` may be missing."""
         e = self.entries
+        real = q.astype(np.float64) if self.real is not None and _small(q) else None
         norm = float(np.linalg.norm(q.astype(float)))
-        slack = _SLACK * (1 + norm) * (1 + float(np.abs(e["radius"]).max()) + float(np.linalg.norm(self.vectors[e["centre"][0]].astype(float))))
-        root = float(_dot(self.vectors[e["centre"][:1]], q)[0])
+        slack = self.scale * (1 + norm)
+        root = float(self._products(e["centre"][:1], q, real)[0])
         heap = [(-(root + norm * e["radius"][0] + slack), 0, root)]
         best: list[tuple[int, int]] = []  # of (score, -id), the smallest on top
         floor = -math.inf if least is None else float(least)
@@ -145,25 +163,27 @@ class MTree:
             a, b = e["first"][at], e["last"][at]
             if e["leaf"][at]:
                 pick = a + np.flatnonzero(product + norm * self.reach[a:b] + slack >= floor)
-                scores = _dot(self.vectors[pick], q)
-                for n in np.lexsort((self.ids[pick], -scores)) if len(pick) else ():
-                    if self.ids[pick[n]] == qid:
+                scores = self._products(pick, q, real)
+                good = np.flatnonzero(scores >= floor)
+                if len(good) > 2 * (k + 1):
+                    # the page's own k best, ties included, and one more for the query's own row
+                    good = good[scores[good] >= np.partition(scores[good], -(k + 1))[-(k + 1)]]
+                for score, i in zip(scores[good].tolist(), self.ids[pick[good]].tolist(), strict=True):
+                    if i == qid:
                         continue
-                    item = (int(scores[n]), -int(self.ids[pick[n]]))
+                    item = (int(score), -i)
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
-                    else:
-                        break
                 if len(best) == k:
                     floor = max(floor, float(best[0][0]))
             else:
-                pick = a + np.flatnonzero(product + norm * (e["parent"][a:b] + e["radius"][a:b]) + slack >= floor)
-                products = _dot(self.vectors[e["centre"][pick]], q).astype(float)
+                pick = a + np.flatnonzero(product + norm * self.far[a:b] + slack >= floor)
+                products = self._products(e["centre"][pick], q, real)
                 bounds = products + norm * e["radius"][pick] + slack
-                for n in np.flatnonzero(bounds >= floor):
-                    heapq.heappush(heap, (-bounds[n], int(pick[n]), float(products[n])))
+                for n in np.flatnonzero(bounds >= floor).tolist():
+                    heapq.heappush(heap, (-float(bounds[n]), int(pick[n]), float(products[n])))
         return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
 
 
@@ -235,8 +255,16 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, key: str = "vec_id", v
     blocks = max(1, math.ceil(asked.count() / BLOCK))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(v, "<i8") for v in group["vec"]])
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "queries": [_packed(ids=group["id"].to_numpy(), vectors=x)]})
+        x, ids = np.stack([np.frombuffer(v, "<i8") for v in group["vec"]]), group["id"].to_numpy()
+        # the k-th score among the sample is a lower bound for the k-th of all
+        known = [(i, p) for i, p in sample if len(p) == x.shape[1]]
+        least = np.full(len(x), np.nan)
+        if len(known) > k:
+            scores = np.stack([_dot(x, p) for _, p in known], axis=1).astype(float)
+            scores[ids[:, None] == np.array([i for i, _ in known])[None, :]] = -np.inf
+            kth = np.sort(scores, axis=1)[:, -k]
+            least[np.isfinite(kth)] = kth[np.isfinite(kth)]
+        return pd.DataFrame({"dim": [x.shape[1]], "queries": [_packed(ids=ids, vectors=x, least=least)]})
 
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)))
     packed = stored(asked.groupBy("dim", "block").applyInPandas(pack, "dim int, queries binary"), "queries")

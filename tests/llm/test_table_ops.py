@@ -254,12 +254,9 @@ def test_tree_prunes():
     x = np.floor(1024 * np.concatenate([c + 0.02 * rng.standard_normal((200, 8)) for c in 3 * rng.standard_normal((5, 8))])).astype(np.int64)
     tree = topk.MTree.of_pages(topk.MTree(np.arange(1000), x).pages())
     seen = []
-    real = topk._dot
-    topk._dot = lambda m, q: (seen.append(len(m)), real(m, q))[1]
-    try:
-        best = tree.search(0, x[0], 10)
-    finally:
-        topk._dot = real
+    products = tree._products
+    tree._products = lambda rows, q, real: (seen.append(len(rows)), products(rows, q, real))[1]
+    best = tree.search(0, x[0], 10)
     want = sorted((-int(s), i) for i, s in enumerate(x @ x[0]) if i != 0)[:10]
     assert best == [(-s, i) for s, i in want] and sum(seen) < 700
 
