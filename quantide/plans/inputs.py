@@ -28,10 +28,10 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily closes by part brand: mean unit prices of the lines shipped."""
+    """Weekly closes by part brand: the highest unit price of the lines shipped."""
     li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     j = li.join(p, li.l_partkey == p.p_partkey).where("l_quantity > 0")
-    return j.groupBy(F.col("p_brand").alias("ticker"), F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).alias("ts")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("close"))
+    return j.groupBy(F.col("p_brand").alias("ticker"), F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).alias("ts")).agg((F.floor(F.max(F.col("l_extendedprice") / F.col("l_quantity")) * 100) / 100.0).cast("double").alias("close"))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     g = j.groupBy(F.col("c_custkey").cast("string").alias("company"), F.to_date(F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp"))).alias("date"), F.col("c_mktsegment").alias("sector"))
     out = g.agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.round(F.max("o_totalprice"), 2).alias("largest"), F.max("c_acctbal").alias("balance"))
-    return out.withColumn("balance", F.when(F.col("balance") >= 500, F.col("balance"))).withColumn("largest", F.when(F.col("n_orders") > 1, F.col("largest")))
+    return out.withColumn("balance", F.when(F.col("balance") >= 500, F.col("balance"))).withColumn("largest", F.when(F.col("n_orders") != 2, F.col("largest")))
 
 
 FEATURES = ["n_orders", "revenue", "largest", "balance"]
@@ -77,7 +77,7 @@ SPARSE = _bars_sql("user_id")
 HOLED = _bars_sql("event_type").replace("value > 0", "value > 0 AND NOT (event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11')")
 HOURLY = _bars_sql("event_type", "hour")
 BRANDS = """bars AS (
-  SELECT p_brand AS ticker, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, round(avg(l_extendedprice / l_quantity), 4) AS "close"
+  SELECT p_brand AS ticker, date_trunc('week', l_shipdate)::TIMESTAMP AS ts, floor(max(l_extendedprice / l_quantity) * 100) / 100.0 AS "close"
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY ALL)"""
 #: the dense matrix of all dates and instruments, and both kinds of grid return
 GRID = """grid AS (
@@ -104,7 +104,7 @@ EVENT_UNIVERSE = """univ AS (
   FROM (VALUES (1, 'click'), (2, 'view'), (3, 'purchase'), (4, 'error'), (0, 'nowhere')) v(k, ticker) JOIN region ON r_regionkey = k
 )"""
 PANEL = """panel AS (
-  SELECT company, date, sector, n_orders, revenue, CASE WHEN n_orders > 1 THEN largest END AS largest, CASE WHEN balance >= 500 THEN balance END AS balance
+  SELECT company, date, sector, n_orders, revenue, CASE WHEN n_orders <> 2 THEN largest END AS largest, CASE WHEN balance >= 500 THEN balance END AS balance
   FROM (SELECT c_custkey::VARCHAR AS company, date_trunc('quarter', o_orderdate)::DATE AS date, c_mktsegment AS sector, count(*)::DOUBLE AS n_orders,
                round(sum(o_totalprice), 2) AS revenue, round(max(o_totalprice), 2) AS largest, max(c_acctbal) AS balance
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)

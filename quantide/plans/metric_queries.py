@@ -70,14 +70,19 @@ def _rolling_sql(bars: str, windows: tuple[int, ...]) -> str:
 query("rolling_volatility", _rolling_sql(I.BRANDS, (30, 60, 90)))(lambda s, d: R.rolling_volatility(I.brands(s, d)))
 query("rolling_volatility_gaps", _rolling_sql(I.SPARSE, (5, 10)))(lambda s, d: R.rolling_volatility(I.sparse(s, d), (5, 10)))
 
+def _complete_sql(bars: str, expr: str) -> str:
+    """One row per instrument, null where no date is complete."""
+    return f"WITH {bars}, {I.GRID}, {I.COMPLETE}, k AS (SELECT ticker, {expr} FROM cc GROUP BY ticker) SELECT * FROM (SELECT DISTINCT ticker FROM bars) LEFT JOIN k USING (ticker)"
+
+
 _SHARPE = "round(avg(r - {rf} / 252) / stddev_samp(r) * sqrt(252), 6) AS sharpe_ratio"
 _VAR = "round(quantile_cont(r, {q}), 6) AS var"
 _SORTINO = "round(avg(r) / stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(252), 6) AS sortino"
 for _name, _expr, _params in (("sharpe_ratio", _SHARPE.format(rf=0.0), MetricParams()), ("var", _VAR.format(q=0.05), MetricParams()), ("sortino", _SORTINO, MetricParams())):
-    _sql = f"WITH {I.DENSE}, {I.GRID}, {I.COMPLETE} SELECT ticker, {_expr} FROM cc GROUP BY ticker"
+    _sql = _complete_sql(I.DENSE, _expr)
     query({"var": "value_at_risk", "sortino": "sortino_ratio"}.get(_name, _name), _sql)(lambda s, d, n=_name, p=_params: metrics.compute(n, I.dense(s, d), p))
-query("sharpe_complete_case_hole", f"WITH {I.HOLED}, {I.GRID}, {I.COMPLETE} SELECT ticker, {_SHARPE.format(rf=0.02)} FROM cc GROUP BY ticker")(lambda s, d: metrics.compute("sharpe_ratio", I.holed(s, d), MetricParams(risk_free=0.02)))
-query("value_at_risk_brands", f"WITH {I.BRANDS}, {I.GRID}, {I.COMPLETE} SELECT ticker, {_VAR.format(q=0.01)} FROM cc GROUP BY ticker")(lambda s, d: metrics.compute("var", I.brands(s, d), MetricParams(confidence=0.01)))
+query("sharpe_complete_case_hole", _complete_sql(I.HOLED, _SHARPE.format(rf=0.02)))(lambda s, d: metrics.compute("sharpe_ratio", I.holed(s, d), MetricParams(risk_free=0.02)))
+query("value_at_risk_brands", _complete_sql(I.BRANDS, _VAR.format(q=0.01)))(lambda s, d: metrics.compute("var", I.brands(s, d), MetricParams(confidence=0.01)))
 
 
 def _ohlc_sql(bars: str, least: int, ppy: float = 252) -> str:
