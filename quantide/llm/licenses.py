@@ -248,10 +248,14 @@ def train(negatives: list[str], seed: int = SEED) -> Model:
 
 
 def negative_sample(docs: DataFrame, key: str, text: str) -> list[str]:
-    """At most SAMPLE_PARAGRAPHS paragraphs of at most SAMPLE_DOCS documents, those with the smallest hashed ids."""
-    lines = docs.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    """At most SAMPLE_PARAGRAPHS paragraphs' beginnings, the first ones of at most SAMPLE_DOCS ids, those with the smallest hashes."""
+    h = F.xxhash64(F.col(key))
+    # ids first, without texts; at most SAMPLE_DOCS hashes come to the driver
+    chosen = [r.h for r in docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()]
+    lines = docs.select(h.alias("h"), F.col(text).alias("t")).where(F.col("h").isin(chosen))
     lines = lines.select("h", F.posexplode(F.slice(F.split(F.coalesce("t", F.lit("")), "\n"), 1, SAMPLE_PARAGRAPHS // SAMPLE_DOCS)).alias("k", "line"))
-    return [r.line[:2000] for r in lines.select("line").where("line <> ''").limit(SAMPLE_PARAGRAPHS).collect()]
+    lines = lines.select("h", "k", F.substring("line", 1, 2000).alias("line")).where("line <> ''").distinct()
+    return [r.line for r in lines.orderBy("h", "k", "line").limit(SAMPLE_PARAGRAPHS).collect()]
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
