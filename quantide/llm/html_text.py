@@ -8,7 +8,10 @@ smoothed with a Gaussian kernel, and a threshold (the smoothed ratios' standard
 deviation, at least ``floor``) splits lines in two clusters; runs of lines above it
 are content regions. Regions are widened to the short lines inside the element that
 holds them, so that a one-word paragraph or heading beside content lines is not
-lost. What stands in menus, headers, footers, asides, forms, scripts, styles,
+lost. <article> and <main> are a hint for widening only: a region inside one also takes
+in that element's lines (not those of another <article> nested in it) whose smoothed
+ratio reaches ``floor``. An <article> without a region of its own adds nothing, and lines
+outside are chosen by the same threshold: unmarked prose there counts as content. What stands in menus, headers, footers, asides, forms, scripts, styles,
 notices, adverts or reader comments, by tag, role, class or id, is no line at all.
 
 Defined results: a null or empty page, or one without content, gives an empty text;
@@ -43,7 +46,7 @@ MARKS = frozenset(
 )
 #: beginnings of such words, for those written in one
 MARK_STARTS = ("comment", "advert", "adsense", "adslot", "sidebar", "cookie", "newsletter", "breadcrumb", "disqus", "navig", "popup", "sponsor", "subscri", "pagina")
-#: containers that are the article when present, most specific first
+#: containers inside which a region is widened down to the lower threshold
 HOLDERS = ("article", "main")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -70,22 +73,23 @@ def marked(attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, characters inside links, articles open, number of the container)."""
+    """Collects lines: (text, tags, characters inside links, number of the innermost article or main, 0 if none, number of the container)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.stack: list[tuple[str, bool]] = []
         self.containers: list[int] = [0]
+        self.holders: list[int] = [0]
         self.opened = 0
-        self.skipping = self.links = self.holders = 0
+        self.skipping = self.links = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.holders, self.containers[-1]))
+            self.lines.append((text, self.tags, self.linked, self.holders[-1], self.containers[-1]))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -108,7 +112,7 @@ class Lines(HTMLParser):
                 if open_tag in BLOCKS:
                     break
         # a header inside the article is its own heading
-        skip = tag in SKIPPED and not (tag == "header" and self.holders) or tag not in ("html", "body", "article", "main") and marked(attrs, self.holders > 0)
+        skip = tag in SKIPPED and not (tag == "header" and self.holders[-1]) or tag not in ("html", "body", "article", "main") and marked(attrs, self.holders[-1] > 0)
         self.stack.append((tag, skip))
         if self.is_container(tag):
             self.opened += 1
@@ -116,7 +120,8 @@ class Lines(HTMLParser):
         self.skipping += skip
         self.tags += 1
         self.links += tag == "a"
-        self.holders += tag in HOLDERS
+        if tag in HOLDERS:
+            self.holders.append(self.opened)
 
     @staticmethod
     def is_container(tag: str) -> bool:
@@ -130,7 +135,8 @@ class Lines(HTMLParser):
             if self.is_container(tag):
                 self.containers.pop()
             self.links -= tag == "a"
-            self.holders -= tag in HOLDERS
+            if tag in HOLDERS:
+                self.holders.pop()
         del self.stack[k:]
         if not self.skipping:
             self.tags += 1
@@ -160,23 +166,20 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 
 def content(lines: list[tuple[str, int, int, int, int]], sigma: float = 1.0, floor: float = 10.0) -> list[str]:
     """The texts of the lines in content regions."""
-    held = [x for x in lines if x[3]]
-    pool = held or lines
-    if not pool:
+    if not lines:
         return []
-    ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, linked, *_ in pool], dtype=float)
+    ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, linked, *_ in lines], dtype=float)
     smooth = smoothed(ratio, sigma)
     threshold = min(max(floor, float(smooth.std())), float(smooth.max()))
     above = smooth >= threshold
-    if held:
-        # the author marked the article: only lines of links with no content beside them are outside its regions
-        menu = np.array([linked > 0.6 * len(t) for t, _, linked, *_ in pool])
-        above = above | ~menu
-    else:
-        # other lines of the same containers belong to the region, unless they are mostly links
-        regions = {x[4] for x, up in zip(pool, above, strict=True) if up}
-        above = above | np.array([x[4] in regions and x[2] <= 0.5 * len(x[0]) for x in pool])
-    return [t for (t, *_), keep in zip(pool, above, strict=True) if keep]
+    # lines that are mostly links join no region
+    menu = np.array([linked > (0.6 if holder else 0.5) * len(t) for t, _, linked, holder, _ in lines])
+    # a region is widened inside its article to lines of the lower threshold, then to all lines of its containers
+    holders = {x[3] for x, up in zip(lines, above, strict=True) if up and x[3]}
+    above = above | ~menu & (smooth >= floor) & np.array([x[3] in holders for x in lines])
+    regions = {x[4] for x, up in zip(lines, above, strict=True) if up}
+    above = above | ~menu & np.array([x[4] in regions for x in lines])
+    return [t for (t, *_), keep in zip(lines, above, strict=True) if keep]
 
 
 def main_text(html: str | None) -> str:

@@ -223,6 +223,22 @@ def test_main_text(opened, closed):
     assert html_text.main_text(PAGE.format(open=opened, close=closed)) == WANT
 
 
+PROSE = "A paragraph of the main text that goes on for long enough to be told from any short line beside it, whatever stands around it."
+
+
+def test_regions_choose_among_all_lines():
+    """An article is a hint: it neither hides text outside nor keeps every line inside."""
+    body = f"<div>{f'<p>{PROSE}</p>' * 5}</div>"
+    text = "\n\n".join([PROSE] * 5)
+    byline = "<div><span>By</span><b>Ann</b></div><div><span>3</span><b>min</b></div><div><i>A</i><i>B</i></div>"
+    assert html_text.main_text(f"<body>{body}<article><h4><i>A</i><b>b</b></h4><p><i>Or</i><b>not</b></p><p><a href=x>More</a></p></article></body>") == text
+    assert html_text.main_text(f"<article>{byline}<header><h1>Heading</h1></header>{body}</article>") == f"Heading\n\n{text}"
+    # an article's region takes in its shorter sections, which a higher threshold would have cut
+    long, short = f"{PROSE} " * 40, "Some forty characters of text, or so it is."
+    got = html_text.main_text(f"<article><section><p>{long}</p><p>{long}</p></section>{f'<section><p>{short}</p></section>' * 6}</article>")
+    assert got == "\n\n".join([long.strip()] * 2 + [short] * 6)
+
+
 def test_broken_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>menu</nav>") == ""
     assert html_text.main_text('<p>unclosed <b>bold<p>two<script>var a="</p>') == "unclosed bold\n\ntwo"
