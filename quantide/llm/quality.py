@@ -8,6 +8,12 @@ sketches merge in any order to the same result, and a source's sketch is a few
 hundred rows however many documents it has. Limits are set from the sketches'
 quantiles, then joined back to filter.
 
+The spread is the smaller of the two half-spreads around the median, so junk on one
+side doesn't widen it until it is half of a group. Beyond that a source's limit is
+bounded: it lies at most twice as far from its language's median as the language's own
+limit. Where junk is over half of a whole language, or a source's junk lies within
+that bound, nothing tells it from the rest.
+
 Everything is DataFrame expressions; no Python runs on the executors.
 
 Defined results: a null text counts as empty (no words, base_failed); null
@@ -36,9 +42,9 @@ RATES = {"symbol_rate": (20, False), "dup_line_rate": (120, False), "repeat_rate
 
 @dataclass(frozen=True)
 class QualityRules:
-    """A document is dropped where a rate is above median + ``reach`` * max(q75 - median, least spread).
+    """A document is dropped where a rate is above median + ``reach`` * max(q75 - median or median - q25, least spread).
 
-    For word length it is dropped below the mirrored limit as well.
+    The smaller half-spread counts. No limit is above the language's median + 2 * ``reach`` * its spread. For word length it is dropped below the mirrored limit as well.
     """
 
     reach: int = 5
@@ -121,10 +127,14 @@ def merged_limits(sketch: DataFrame, rules: QualityRules) -> DataFrame:
     renamed = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") if c not in ("source",) else F.col(c) for c in df.columns])
     o, g, a = own, renamed(lang, "g"), renamed(whole, "a")
     j = o.join(g, o["lang"].eqNullSafe(g["g_lang"]) & (o["rate"] == g["g_rate"]), "left").join(a, o["rate"] == a["a_rate"], "left")
-    pick = lambda c: F.when(F.col("total") >= rules.min_docs, F.col(c)).when(F.col("g_total") >= rules.min_docs, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}"))
-    j = j.select("lang", "source", "rate", *[pick(c).alias(c) for c in ("q25", "q50", "q75")])
-    spread = F.greatest(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25"), least[F.col("rate")].cast("long"))
-    j = j.withColumn("high", F.col("q50") + rules.reach * spread).withColumn("low", F.col("q50") - rules.reach * spread)
+    wide = lambda c: F.when(F.col("g_total") >= rules.min_docs, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}"))
+    pick = lambda c: F.when(F.col("total") >= rules.min_docs, F.col(c)).otherwise(wide(c))
+    quarters = ("q25", "q50", "q75")
+    j = j.select("lang", "source", "rate", *[pick(c).alias(c) for c in quarters], *[wide(c).alias(f"wide_{c}") for c in quarters])
+    # the smaller half-spread: over a quarter of junk moves the other one
+    spread = lambda tag: F.greatest(F.least(F.col(f"{tag}q75") - F.col(f"{tag}q50"), F.col(f"{tag}q50") - F.col(f"{tag}q25")), least[F.col("rate")].cast("long"))
+    own_reach, wide_reach = rules.reach * spread(""), 2 * rules.reach * spread("wide_")
+    j = j.withColumn("high", F.least(F.col("q50") + own_reach, F.col("wide_q50") + wide_reach)).withColumn("low", F.greatest(F.col("q50") - own_reach, F.col("wide_q50") - wide_reach))
     only = lambda c, k: F.max(F.when(F.col("rate") == k, F.col(c)))
     aggs = [only("high", k).alias(f"{k}_high") for k in RATES] + [only("low", k).alias(f"{k}_low") for k, (_, both) in RATES.items() if both]
     return j.groupBy("lang", "source").agg(*aggs)

@@ -58,6 +58,17 @@ def test_quality_keeps_clean_drops_junk(spark):
     assert quality.judge(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [20, 26, 50, 70, 90])
+def test_common_junk_sets_no_limit(spark, share):
+    """A dirty source's junk goes whatever its share; a source that is a little denser than its language stays."""
+    rows = [(i, "en", "dirty", 488 if i < share else 0, 5000) for i in range(100)]
+    rows += [(100 + i, "en", "clean", 0, 5000) for i in range(200)] + [(300 + i, "en", "dense", 120 + i, 5000) for i in range(40)]
+    counted = spark.createDataFrame(rows, "doc_id int, lang string, source string, n_symbols long, word_chars long").selectExpr("*", "1000L n_words", "0L n_dup_lines", "10L n_lines", "0L n_repeat_words")
+    rules = quality.QualityRules()
+    judged = quality.verdicts(counted, quality.merged_limits(quality.sketches(counted, rules), rules), rules)
+    assert {r.doc_id for r in judged.where("not kept").collect()} == set(range(share))
+
+
 def test_quality_is_native(spark):
     plan = quality.keep_good(docs(spark, ["a b c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
