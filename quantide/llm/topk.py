@@ -164,13 +164,12 @@ class MTree:
             if e["leaf"][at]:
                 pick = a + np.flatnonzero(product + norm * self.reach[a:b] + slack >= floor)
                 scores = self._products(pick, q, real)
-                good = np.flatnonzero(scores >= floor)
-                if len(good) > 2 * (k + 1):
-                    # the page's own k best, ties included, and one more for the query's own row
-                    good = good[scores[good] >= np.partition(scores[good], -(k + 1))[-(k + 1)]]
+                # the query's own rows, of which there may be many, go first
+                good = np.flatnonzero((scores >= floor) & (self.ids[pick] != qid))
+                if len(good) > 2 * k:
+                    # the page's own k best, ties included
+                    good = good[scores[good] >= np.partition(scores[good], -k)[-k]]
                 for score, i in zip(scores[good].tolist(), self.ids[pick[good]].tolist(), strict=True):
-                    if i == qid:
-                        continue
                     item = (int(score), -i)
                     if len(best) < k:
                         heapq.heappush(best, item)

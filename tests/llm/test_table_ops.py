@@ -261,6 +261,16 @@ def test_tree_prunes():
     assert best == [(-s, i) for s, i in want] and sum(seen) < 700
 
 
+@pytest.mark.parametrize("own", [1, 11, 12, 40])
+def test_repeated_query_id_hides_no_candidate(own):
+    """However many rows share the query's id, the page's others are candidates, ties by id."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.full((own, 4), 1000), rng.integers(0, 30, (60, 4)) * 30]).astype(np.int64)
+    ids = np.array([0] * own + list(range(1, 61)))
+    want = sorted((-int(s), i) for s, i in zip(x @ x[0], ids) if i != 0)[:10]
+    assert topk.MTree(ids, x).search(0, x[0], 10) == [(-s, i) for s, i in want]
+
+
 def test_big_components(spark):
     rows = [(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 3.0])]
     got = [(r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "id = 0").orderBy("rank").collect()]
