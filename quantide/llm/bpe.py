@@ -105,11 +105,21 @@ class TreeBPE:
             if (not right_agrees or len(window) == 1) and b < len(right):
                 b = min(len(right), 2 * b)
 
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return self.native.encode_ordinary_batch(texts, num_threads=self.threads)
+
     def encode_piece(self, data: bytes) -> list[int]:
-        """A tree over a piece that the pattern leaves unsplit."""
+        """A tree over a piece that the pattern leaves unsplit; it leaves parts of it unsplit too."""
         if len(data) <= self.piece_leaf:
             return self._merge(data)
-        parts = [self._merge(data[i : i + self.piece_leaf]) for i in range(0, len(data), self.piece_leaf)]
+        cuts = [0]
+        while cuts[-1] < len(data):
+            at = min(cuts[-1] + self.piece_leaf, len(data))
+            # not inside a character
+            while at < len(data) and data[at] & 0xC0 == 0x80:
+                at += 1
+            cuts.append(at)
+        parts = self._batch([data[a:b].decode() for a, b in zip(cuts, cuts[1:])])
         while len(parts) > 1:
             parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
@@ -143,9 +153,9 @@ class TreeBPE:
         if len(text) <= self.text_leaf:
             return self._leaf(text)
         leaves = self.halves(text)
-        if len(leaves) == 1 or any(may_hold_unsplit(x, self.piece_leaf) for x in leaves):
-            return [i for x in leaves for i in self._leaf(x)]
-        return [i for ids in self.native.encode_ordinary_batch(leaves, num_threads=self.threads) for i in ids]
+        unsplit = [may_hold_unsplit(x, self.piece_leaf) for x in leaves]
+        others = iter(self._batch([x for x, long in zip(leaves, unsplit, strict=True) if not long]))
+        return [i for x, long in zip(leaves, unsplit, strict=True) for i in (self._leaf(x) if long else next(others))]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -144,6 +144,21 @@ def test_bpe_equals_the_library(library):
         assert normal.decode_bytes(want.ids) == library.decode(want.ids, skip_special_tokens=False).encode()
 
 
+def test_bpe_leaves_of_unsplit_text_run_in_threads(library):
+    """A long run's leaves go to the native threads, and so do the other leaves of its text."""
+    tree, seen = bpe.TreeBPE(bpe.default_vocabulary(), text_leaf=200), []
+    batch = tree.native.encode_ordinary_batch
+    tree.native.encode_ordinary_batch = lambda texts, num_threads: (seen.append(texts), batch(texts, num_threads=num_threads))[1]
+    rnd = random.Random(4)
+    alphabets = ["abcdefgh", "0123456789", "!?'-#", " \n\t\u3000", "日本語é", "𐍈ab", "'!̈¨", "ʼأنا"]
+    for run in ["".join(rnd.choices(a, k=3000)) for a in alphabets]:
+        for text in (run, " " + run, f"{'some words ' * 90}{run} {'and others ' * 90}"):
+            seen.clear()
+            assert tree.encode(text) == library.encode(text, add_special_tokens=False).ids
+            assert max(map(len, seen)) > 1
+    assert any(any(x.startswith(" and others") or x.startswith(" others") for x in texts) for texts in seen)
+
+
 def test_bpe_query(spark, library):
     texts = [None, *mixed_texts(30)]
     for r in bpe.round_trip(docs(spark, texts)).collect():
