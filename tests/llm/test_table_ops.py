@@ -251,14 +251,34 @@ def test_top_k(spark, monkeypatch):
 
 def test_tree_prunes():
     rng = np.random.default_rng(1)
-    x = np.floor(1024 * np.concatenate([c + 0.02 * rng.standard_normal((200, 8)) for c in 3 * rng.standard_normal((5, 8))])).astype(np.int64)
-    tree = topk.MTree.of_pages(topk.MTree(np.arange(1000), x).pages())
-    seen = []
-    products = tree._products
-    tree._products = lambda rows, q, real: (seen.append(len(rows)), products(rows, q, real))[1]
-    best = tree.search(0, x[0], 10)
+    x = np.floor(1024 * np.concatenate([c + 0.02 * rng.standard_normal((2000, 8)) for c in 3 * rng.standard_normal((5, 8))]))
+    tree = topk.MTree.of_pages(topk.MTree(np.arange(10000), x).pages())
     want = sorted((-int(s), i) for i, s in enumerate(x @ x[0]) if i != 0)[:10]
-    assert best == [(-s, i) for s, i in want] and sum(seen) < 700
+    assert tree.search(0, x[0], 10) == [(-s, i) for s, i in want] and 0 < tree.computed < 3000
+    # the upper tree gives objects by their bound, all of them or down to a floor
+    cover = rng.random(10000) * 50
+    upper = topk.MTree.of_pages(topk.MTree(np.arange(10000), x, cover).pages())
+    got = [(b, int(upper.keys[n])) for b, n in upper.nearest(x[0])]
+    bounds = x @ x[0] + cover * np.linalg.norm(x[0])
+    assert sorted(n for _, n in got) == list(range(10000)) and np.allclose([b for b, _ in got], np.sort(bounds)[::-1])
+    floor = float(np.sort(bounds)[-50]) - 1
+    assert {int(upper.keys[n]) for _, n in upper.nearest(x[0], floor)} == set(np.flatnonzero(bounds >= floor).tolist())
+
+
+@pytest.mark.parametrize(("n", "own"), [(200, 15), (2000, 40)])
+def test_top_k_of_repeated_query_rows(spark, monkeypatch, n, own):
+    monkeypatch.setattr(topk, "TREE_ROWS", 300)
+    monkeypatch.setattr(topk, "PAGE", 32)
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((n, 8)).tolist()
+    rows = [*enumerate(vectors), *[(100, vectors[100])] * own, (0, vectors[3]), (300, [1e9] * 8), (301, [1e12] * 8), (400, [3e8] * 8), (11, [1e300] + [0.0] * 7)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("part", F.lit(1)).withColumn("query", F.lit(2))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, "id % 100 = 0").collect())
+    want = [(q, r, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, r, i, s in brute_top(rows)]
+    clipped = {q for q, _, _, s in want if abs(s) >= (1 << 63) - 1}
+    assert [x for x in got if x[0] not in clipped] == [x for x in want if x[0] not in clipped]
+    # scores set to the nearest 64-bit number are ties, which go to smaller ids
+    assert clipped == {300, 400} and all(sum(x[0] == q for x in got) == 10 for q in clipped)
 
 
 @pytest.mark.parametrize("own", [1, 11, 12, 40])
