@@ -58,23 +58,32 @@ def drop_stored(*tables: DataFrame) -> None:
                 fs.delete(path, True)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """The name, lengthened until no column has it (whatever its case)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def left_join_small(left: DataFrame, small: DataFrame, keys: list[str], limit: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Null-safe left join whose right side is expected to be small and has one row per key.
 
-    The right side is counted (up to the limit). Within it, it is broadcast. Beyond
-    it, the left side is dealt over salts, so that a key with a third of all rows
-    is spread, and the right side is repeated once per salt.
+    The right side is counted (up to the limit). Within it, it is broadcast; its rows are to be short. Beyond
+    it, the left side is dealt over salts, so that a key with a third of all rows is spread, and the right side is
+    repeated once per salt. Other columns of the right side must not be named as columns of the left one.
     """
-    right = small.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in small.columns if c not in keys])
-    on = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    taken = [*left.columns, *small.columns]
+    theirs = {k: fresh(f"_r_{k}", taken) for k in keys}
+    right = small.withColumnsRenamed(theirs)
+    on = [left[k].eqNullSafe(right[theirs[k]]) for k in keys]
     if len(small.limit(limit + 1).select(F.lit(1)).collect()) <= limit:
-        joined = left.join(F.broadcast(right), on, "left")
-    else:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
-        right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys] + [left["_salt"] == right["_salt_r"]]
-        joined = left.join(right, on, "left").drop("_salt", "_salt_r")
-    return joined.drop(*[f"_r_{k}" for k in keys])
+        return left.join(F.broadcast(right), on, "left").drop(*theirs.values())
+    ours, other = fresh("_salt", taken), fresh("_salt_r", taken)
+    left = left.withColumn(ours, F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = [left[k].eqNullSafe(right[theirs[k]]) for k in keys] + [left[ours] == right[other]]
+    return left.join(right, on, "left").drop(ours, other, *theirs.values())
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -6,13 +6,19 @@ and source a quantile sketch per rate: a histogram whose bins keep the seven
 leading binary digits of the rate. Bins of different parts simply add up, so
 sketches merge in any order to the same result, and a source's sketch is a few
 hundred rows however many documents it has. Limits are set from the sketches'
-quantiles, then joined back to filter.
-
-The spread is the smaller of the two half-spreads around the median, so junk on one
-side doesn't widen it until it is half of a group. Beyond that a source's limit is
-bounded: it lies at most twice as far from its language's median as the language's own
-limit. Where junk is over half of a whole language, or a source's junk lies within
-that bound, nothing tells it from the rest.
+quantiles, then joined back to filter; no rate has a fixed cutoff or least spread
+beyond one bin.
+
+A limit lies ``reach`` spreads beyond the median. The spread is the smaller of the two
+half-spreads, so junk on one side doesn't widen it. Where the lower one is nothing,
+as with traits that most documents lack, it is the distance from the median to
+an upper quantile, the higher the more often good documents show the trait (see
+``RATES``). A source's limit is at most twice as far from its language's median as the
+language's own, so junk of a dirty source sets no limit. A document goes where its
+count exceeds what the limit allows by more than ``sigmas`` standard deviations of
+a Poisson count (one event at least): so a short text isn't judged by one line.
+Junk that passes a rate's quantile in a whole language, or a source's junk within
+that bound, isn't told from the rest.
 
 Everything is DataFrame expressions; no Python runs on the executors.
 
@@ -30,24 +36,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantide.llm.common import left_join_small, stored, table, text_or_empty
+from quantide.llm.common import fresh, left_join_small, stored, table, text_or_empty
 
 SPACE = " \t\n\u000b\f\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
-#: rate -> (smallest spread in thousandths, whether a low rate is also suspect)
-RATES = {"symbol_rate": (20, False), "dup_line_rate": (120, False), "repeat_rate": (80, False), "word_length": (400, True)}
+#: rate -> (count, what it is a rate of, its upper quantile as a fraction, whether a low rate is suspect too)
+RATES = {"symbol_rate": ("n_symbols", "n_words", (3, 4), False), "dup_line_rate": ("n_dup_lines", "n_lines", (7, 8), False), "repeat_rate": ("n_repeat_words", "n_words", (15, 16), False), "word_length": ("word_chars", "n_words", (3, 4), True)}
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """A document is dropped where a rate is above median + ``reach`` * max(q75 - median or median - q25, least spread).
-
-    The smaller half-spread counts. No limit is above the language's median + 2 * ``reach`` * its spread. For word length it is dropped below the mirrored limit as well.
-    """
+    """Limits are median + ``reach`` * spread, at most the language's median + 2 * ``reach`` * its spread; for word length mirrored below as well."""
 
     reach: int = 5
+    sigmas: int = 3
     min_docs: int = 30
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -58,22 +62,21 @@ def _word_list(text: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to each row."""
-    t, w, lines, wins = (f"_q_{x}" for x in ("text", "words", "lines", "wins"))
-    kept = docs.columns
+    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to each row; columns of the same names are replaced."""
+    t, w, lines, hashes, wins, again = (fresh(f"_q_{x}", docs.columns) for x in ("text", "words", "lines", "hashes", "wins", "again"))
     out = docs.withColumn(t, text_or_empty(text))
     out = out.withColumn(w, _word_list(F.col(t)))
     out = out.withColumn(w, F.when(F.btrim(F.col(t), F.lit(SPACE)) == "", F.array().cast("array<string>")).otherwise(F.col(w)))
     out = out.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
-    window = lambda i: F.xxhash64(F.get(F.col(w), i), F.get(F.col(w), i + 1), F.get(F.col(w), i + 2))
-    out = out.withColumn("_q_hash", F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)))
-    # only where a window repeats: hashes with their places, sorted, so that equal windows become neighbours
-    placed = F.transform(F.col("_q_hash"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    out = out.withColumn(wins, F.when(F.size(F.array_distinct("_q_hash")) < F.size("_q_hash"), F.sort_array(placed)))
-    same = lambda a, b: F.get(F.col(wins), a)["h"] == F.get(F.col(wins), b)["h"]
-    again = F.filter(F.col(wins), lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-    out = out.withColumn("_q_again", F.transform(again, lambda x: x["i"]))
-    covered = F.array_distinct(F.flatten(F.array(F.col("_q_again"), F.transform("_q_again", lambda i: i + 1), F.transform("_q_again", lambda i: i + 2))))
+    three = lambda i: [F.get(F.col(w), i + k) for k in range(3)]
+    out = out.withColumn(hashes, F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(*three(i)))))
+    # only where hashes repeat: the windows with their places, sorted, so that equal windows become neighbours
+    placed = F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", *three(i)).alias("x"), i.alias("i")))
+    out = out.withColumn(wins, F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(placed)))
+    same = lambda a, b: (F.get(F.col(wins), a)["h"] == F.get(F.col(wins), b)["h"]) & (F.get(F.col(wins), a)["x"] == F.get(F.col(wins), b)["x"])
+    twice = F.filter(F.col(wins), lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
+    out = out.withColumn(again, F.transform(twice, lambda x: x["i"]))
+    covered = F.array_distinct(F.flatten(F.array(F.col(again), F.transform(again, lambda i: i + 1), F.transform(again, lambda i: i + 2))))
     counts = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.concat_ws("", F.col(w))).cast("long"),
@@ -82,12 +85,12 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(F.col(lines)))).cast("long"),
         "n_repeat_words": F.coalesce(F.size(covered), F.lit(0)).cast("long"),
     }
+    kept = [c for c in docs.columns if c.lower() not in {(prefix + k).lower() for k in counts}]
     return out.select(*kept, *[c.alias(prefix + k) for k, c in counts.items()])
 
 
 def _rates(prefix: str = "") -> dict[str, Column]:
-    per = lambda x, n: F.expr(f"(1000 * `{prefix}{x}`) div greatest(`{prefix}{n}`, 1L)")
-    return {"symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")}
+    return {k: F.expr(f"(1000 * `{prefix}{c}`) div greatest(`{prefix}{n}`, 1L)") for k, (c, n, *_) in RATES.items()}
 
 
 def _bin(rate: Column) -> Column:
@@ -114,43 +117,50 @@ def merged_limits(sketch: DataFrame, rules: QualityRules) -> DataFrame:
     """(lang, source, <rate>_low, <rate>_high) from the sketch of each source, its language or all, whichever has enough documents."""
     from pyspark.sql import Window
 
-    least = F.create_map(*[F.lit(x) for k, (v, _) in RATES.items() for x in (k, v)])
-
     def quantiles(by: list[str]) -> DataFrame:
         s = sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "rate")
         s = s.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bin")))
         at = lambda p, q: F.min(F.when(F.col("upto") * q >= F.col("total") * p, F.col("bin")))
-        return s.groupBy(*by, "rate").agg(F.max("total").alias("total"), at(1, 2).alias("q50"), at(3, 4).alias("q75"), at(1, 4).alias("q25"))
+        middle, lower = at(1, 2), at(1, 2) - at(1, 4)
+        spread = F.when(lower > 0, F.least(at(3, 4) - middle, lower))
+        for rate, (_, _, upper, _) in RATES.items():
+            spread = spread.when(F.col("rate") == rate, at(*upper) - middle)
+        return s.groupBy(*by, "rate").agg(F.max("total").alias("total"), middle.alias("mid"), F.greatest(F.lit(1), spread).alias("spread"))
 
     own, lang, whole = quantiles(["lang", "source"]), quantiles(["lang"]), quantiles([])
-    renamed = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") if c not in ("source",) else F.col(c) for c in df.columns])
-    o, g, a = own, renamed(lang, "g"), renamed(whole, "a")
-    j = o.join(g, o["lang"].eqNullSafe(g["g_lang"]) & (o["rate"] == g["g_rate"]), "left").join(a, o["rate"] == a["a_rate"], "left")
+    tagged = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
+    g, a = tagged(lang, "g"), tagged(whole, "a")
+    j = own.join(g, own["lang"].eqNullSafe(g["g_lang"]) & (own["rate"] == g["g_rate"]), "left").join(a, own["rate"] == a["a_rate"], "left")
     wide = lambda c: F.when(F.col("g_total") >= rules.min_docs, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}"))
     pick = lambda c: F.when(F.col("total") >= rules.min_docs, F.col(c)).otherwise(wide(c))
-    quarters = ("q25", "q50", "q75")
-    j = j.select("lang", "source", "rate", *[pick(c).alias(c) for c in quarters], *[wide(c).alias(f"wide_{c}") for c in quarters])
-    # the smaller half-spread: over a quarter of junk moves the other one
-    spread = lambda tag: F.greatest(F.least(F.col(f"{tag}q75") - F.col(f"{tag}q50"), F.col(f"{tag}q50") - F.col(f"{tag}q25")), least[F.col("rate")].cast("long"))
-    own_reach, wide_reach = rules.reach * spread(""), 2 * rules.reach * spread("wide_")
-    j = j.withColumn("high", F.least(F.col("q50") + own_reach, F.col("wide_q50") + wide_reach)).withColumn("low", F.greatest(F.col("q50") - own_reach, F.col("wide_q50") - wide_reach))
+    reach, most = rules.reach * pick("spread"), 2 * rules.reach * wide("spread")
+    j = j.withColumn("high", F.least(pick("mid") + reach, wide("mid") + most)).withColumn("low", F.greatest(pick("mid") - reach, wide("mid") - most, F.lit(0)))
     only = lambda c, k: F.max(F.when(F.col("rate") == k, F.col(c)))
-    aggs = [only("high", k).alias(f"{k}_high") for k in RATES] + [only("low", k).alias(f"{k}_low") for k, (_, both) in RATES.items() if both]
+    aggs = [only("high", k).alias(f"{k}_high") for k in RATES] + [only("low", k).alias(f"{k}_low") for k, (*_, both) in RATES.items() if both]
     return j.groupBy("lang", "source").agg(*aggs)
 
 
 def verdicts(counted: DataFrame, limits: DataFrame, rules: QualityRules, prefix: str = "") -> DataFrame:
     """Join the limits and add base_failed and kept. ``counted`` must hold lang and source."""
-    renamed = limits.select(*[F.col(c).alias(c if c in ("lang", "source") else f"_lim_{c}") for c in limits.columns])
-    j = left_join_small(counted, renamed, ["lang", "source"])
+    names = {c: fresh(f"_lim_{c}", counted.columns) for c in limits.columns if c not in ("lang", "source")}
+    j = left_join_small(counted, limits.withColumnsRenamed(names), ["lang", "source"])
     good = F.lit(True)
-    for k, rate in _rates(prefix).items():
-        good = good & F.coalesce(rate <= F.col(f"_lim_{k}_high"), F.lit(True))
-        if RATES[k][1]:
-            good = good & F.coalesce(rate >= F.col(f"_lim_{k}_low"), F.lit(True))
+
+    def within(excess: Column, allowed: Column) -> Column:
+        """Whether a count is beyond what is allowed (both in thousandths) by no more than noise."""
+        noise = F.lit(1000.0 * rules.sigmas**2) * F.greatest(allowed, F.lit(1000))
+        return F.coalesce((excess <= 0) | (excess.cast("double") * excess.cast("double") <= noise), F.lit(True))
+
+    for k, (c, n, _, both) in RATES.items():
+        seen, of = F.lit(1000) * F.col(prefix + c), F.col(prefix + n)
+        high = F.col(names[f"{k}_high"]) * of
+        good = good & within(seen - high, high)
+        if both:
+            low = F.col(names[f"{k}_low"]) * of
+            good = good & within(low - seen, low)
     failed = base_failed(rules, prefix)
-    return j.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~failed & good).drop(*[c for c in renamed.columns if c.startswith("_lim_")])
+    return j.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~failed & good).drop(*names.values())
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -167,9 +177,10 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
 
     The documents are written once with their counts, so that texts are neither shuffled nor counted twice.
     """
-    counted = stored(with_counts(docs, prefix="_quality_"), "quality")
-    judged = verdicts(counted, merged_limits(sketches(counted, rules, "_quality_"), rules), rules, "_quality_")
-    return judged.where("_quality_kept").select(*docs.columns)
+    prefix = fresh("_quality_", [c[:9] for c in docs.columns])
+    counted = stored(with_counts(docs, prefix=prefix), "quality")
+    judged = verdicts(counted, merged_limits(sketches(counted, rules, prefix), rules), rules, prefix)
+    return judged.where(f"`{prefix}kept`").select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,41 +211,36 @@ WITH base AS (
          coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN reps USING (rid)
 ), judged AS (
-  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-         (1000 * n_symbols) // greatest(n_words, 1) AS symbol_rate,
-         (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_line_rate,
-         (1000 * n_repeat_words) // greatest(n_words, 1) AS repeat_rate,
-         (1000 * word_chars) // greatest(n_words, 1) AS word_length
-  FROM counted
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM counted
 ), rates AS (
-  UNPIVOT (SELECT rid, lang, source, symbol_rate, dup_line_rate, repeat_rate, word_length FROM judged WHERE NOT base_failed)
-  ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rate VALUE v
+  SELECT rid, lang, source, r.rate, r.c, r.n, (1000 * r.c) // greatest(r.n, 1) AS v FROM (
+    SELECT rid, lang, source, unnest([
+      {'rate': 'symbol_rate', 'c': n_symbols, 'n': n_words}, {'rate': 'dup_line_rate', 'c': n_dup_lines, 'n': n_lines},
+      {'rate': 'repeat_rate', 'c': n_repeat_words, 'n': n_words}, {'rate': 'word_length', 'c': word_chars, 'n': n_words}]) AS r
+    FROM judged WHERE NOT base_failed)
 ), bins AS (
   SELECT lang, source, rate, v - v % (2 ** greatest(length(bin(v)) - 7, 0))::BIGINT AS bin FROM rates
+), q AS (
+  SELECT lang, source, rate, grouping(lang, source, rate) AS g, count(*) AS total, quantile_disc(bin, 0.5) AS mid,
+         greatest(1, CASE WHEN quantile_disc(bin, 0.5) > quantile_disc(bin, 0.25) THEN least(quantile_disc(bin, 0.75) - quantile_disc(bin, 0.5), quantile_disc(bin, 0.5) - quantile_disc(bin, 0.25))
+                          WHEN rate = 'dup_line_rate' THEN quantile_disc(bin, 0.875) - quantile_disc(bin, 0.5)
+                          WHEN rate = 'repeat_rate' THEN quantile_disc(bin, 0.9375) - quantile_disc(bin, 0.5)
+                          ELSE quantile_disc(bin, 0.75) - quantile_disc(bin, 0.5) END) AS spread
+  FROM bins GROUP BY GROUPING SETS ((lang, source, rate), (lang, rate), (rate))
+), wide AS (
+  SELECT o.lang, o.source, o.rate, o.total, o.mid, o.spread,
+         CASE WHEN l.total >= 30 THEN l.mid ELSE a.mid END AS wide_mid, CASE WHEN l.total >= 30 THEN l.spread ELSE a.spread END AS wide_spread
+  FROM q o JOIN q l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate AND o.g = 0 AND l.g = 2 JOIN q a ON o.rate = a.rate AND a.g = 6
 ), own AS (
-  SELECT lang, source, rate, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.5) AS q50, quantile_disc(bin, 0.75) AS q75
-  FROM bins GROUP BY ALL
-), grp AS (
-  SELECT lang, rate, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.5) AS q50, quantile_disc(bin, 0.75) AS q75
-  FROM bins GROUP BY ALL
-), whole AS (
-  SELECT rate, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.5) AS q50, quantile_disc(bin, 0.75) AS q75
-  FROM bins GROUP BY ALL
-), picked AS (
-  SELECT own.lang, own.source, own.rate,
-         CASE WHEN own.total >= 30 THEN own.q25 WHEN grp.total >= 30 THEN grp.q25 ELSE whole.q25 END AS q25,
-         CASE WHEN own.total >= 30 THEN own.q50 WHEN grp.total >= 30 THEN grp.q50 ELSE whole.q50 END AS q50,
-         CASE WHEN own.total >= 30 THEN own.q75 WHEN grp.total >= 30 THEN grp.q75 ELSE whole.q75 END AS q75,
-         CASE own.rate WHEN 'symbol_rate' THEN 20 WHEN 'word_length' THEN 400 WHEN 'dup_line_rate' THEN 120 ELSE 80 END AS least
-  FROM own JOIN grp ON own.lang IS NOT DISTINCT FROM grp.lang AND own.rate = grp.rate JOIN whole ON own.rate = whole.rate
+  SELECT lang, source, rate, wide_mid, wide_spread, CASE WHEN total >= 30 THEN mid ELSE wide_mid END AS mid, CASE WHEN total >= 30 THEN spread ELSE wide_spread END AS spread FROM wide
 ), limits AS (
-  SELECT lang, source, rate, q50 + 5 * greatest(q75 - q50, q50 - q25, least) AS high,
-         CASE WHEN rate = 'word_length' THEN q50 - 5 * greatest(q75 - q50, q50 - q25, least) ELSE -1 END AS low
-  FROM picked
+  SELECT lang, source, rate, least(mid + 5 * spread, wide_mid + 10 * wide_spread) AS high,
+         CASE WHEN rate = 'word_length' THEN greatest(mid - 5 * spread, wide_mid - 10 * wide_spread, 0) ELSE 0 END AS low
+  FROM own
 ), bad AS (
-  SELECT DISTINCT r.rid FROM rates r JOIN limits m
-  ON r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source AND r.rate = m.rate
-  WHERE r.v > m.high OR r.v < m.low
+  SELECT DISTINCT rid FROM (SELECT rid, (1000 * c - high * n)::DOUBLE AS over, (low * n - 1000 * c)::DOUBLE AS under, 9000.0::DOUBLE * greatest(high * n, 1000) AS high_noise, 9000.0::DOUBLE * greatest(low * n, 1000) AS low_noise
+    FROM rates r JOIN limits m ON r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source AND r.rate = m.rate)
+  WHERE over > 0 AND over * over > high_noise OR under > 0 AND under * under > low_noise
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND bad.rid IS NULL) AS kept

@@ -53,20 +53,46 @@ def test_quality_keeps_clean_drops_junk(spark):
     assert kept == set(range(60))
     assert quality.keep_good(frame).columns == frame.columns
     # null groups, extra columns with clashing names, repeated rows
-    odd = frame.selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "n_chars", "text as h", "1 as rate", "2 as bin")
+    odd = frame.selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "n_chars", "text as h", "1 as rate", "2 as bin", "3 as _q_text", "4 as n_words", "5 as _salt", "6 as _r_lang", "7 as _quality_kept", "8 as _lim_symbol_rate_high", "9 as node", "10 as n2", "11 as n", "12 as cdf")
+    assert quality.with_counts(odd).select("_q_text").distinct().count() == 1 and quality.keep_good(odd).columns == odd.columns
     assert {r.doc_id for r in quality.keep_good(odd.union(odd)).collect()} == set(range(60))
     assert quality.judge(frame.limit(0)).count() == 0
 
 
+def judged(spark, rows):
+    counted = spark.createDataFrame(rows, "doc_id int, lang string, source string, n_symbols long, word_chars long").selectExpr("*", "1000L n_words", "0L n_dup_lines", "10L n_lines", "0L n_repeat_words")
+    rules = quality.QualityRules()
+    limits = quality.merged_limits(quality.sketches(counted, rules), rules)
+    return {r.source: r for r in limits.collect()}, {r.doc_id for r in quality.verdicts(counted, limits, rules).where("not kept").collect()}
+
+
 @pytest.mark.parametrize("share", [20, 26, 50, 70, 90])
 def test_common_junk_sets_no_limit(spark, share):
     """A dirty source's junk goes whatever its share; a source that is a little denser than its language stays."""
     rows = [(i, "en", "dirty", 488 if i < share else 0, 5000) for i in range(100)]
-    rows += [(100 + i, "en", "clean", 0, 5000) for i in range(200)] + [(300 + i, "en", "dense", 120 + i, 5000) for i in range(40)]
-    counted = spark.createDataFrame(rows, "doc_id int, lang string, source string, n_symbols long, word_chars long").selectExpr("*", "1000L n_words", "0L n_dup_lines", "10L n_lines", "0L n_repeat_words")
+    rows += [(100 + i, "en", "clean", i % 41, 5000) for i in range(200)] + [(300 + i, "en", "dense", 60 + i, 5000) for i in range(40)]
+    _, gone = judged(spark, rows)
+    assert gone == set(range(share))
+
+
+def test_limits_follow_each_source_and_language(spark):
+    """Sources of different spread get different limits, and what is junk in one is usual in another."""
+    rows = [(i, "en", "plain", i % 5, 5000) for i in range(100)] + [(100 + i, "en", "tables", 5 * (i % 9), 5000 + 20 * (i % 9)) for i in range(100)]
+    rows += [(200 + i, "de", "plain-de", 100 + i % 50, 7000 + i) for i in range(100)] + [(300, "en", "plain", 30, 5000), (301, "en", "tables", 30, 5000), (302, "de", "plain-de", 30, 5000), (303, "en", "few", 20, 5000)]
+    limits, gone = judged(spark, rows)
+    assert limits["plain"].symbol_rate_high < limits["tables"].symbol_rate_high < limits["plain-de"].symbol_rate_high
+    assert limits["tables"].word_length_low < limits["plain"].word_length_low and limits["few"].symbol_rate_high > limits["plain"].symbol_rate_high
+    # 302 has words too short for its language only
+    assert gone == {300, 302}
+
+
+def test_short_texts_are_given_noise(spark):
+    """The same rate counts against a long text and not against a short one."""
+    rows = [(i, "en", "s", 0, 0, 1000, 100) for i in range(200)] + [(200, "en", "s", 2, 0, 50, 10), (201, "en", "s", 40, 0, 1000, 100), (202, "en", "s", 0, 2, 1000, 20), (203, "en", "s", 0, 9, 1000, 90)]
+    counted = spark.createDataFrame(rows, "doc_id int, lang string, source string, n_symbols long, n_dup_lines long, n_words long, n_lines long").selectExpr("*", "5 * n_words word_chars", "0L n_repeat_words")
     rules = quality.QualityRules()
-    judged = quality.verdicts(counted, quality.merged_limits(quality.sketches(counted, rules), rules), rules)
-    assert {r.doc_id for r in judged.where("not kept").collect()} == set(range(share))
+    out = quality.verdicts(counted, quality.merged_limits(quality.sketches(counted, rules), rules), rules)
+    assert {r.doc_id for r in out.where("not kept").collect()} == {201, 203}
 
 
 def test_quality_is_native(spark):
