@@ -6,12 +6,15 @@ met in it, the share of its text inside links and the elements it stands in. A l
 text-to-tag ratio is its characters over its tags. The ratios, in page order, are
 smoothed with a Gaussian kernel, and a threshold (the smoothed ratios' standard
 deviation, at least ``floor``) splits lines in two clusters; runs of lines above it
-are content regions. Regions are widened to the short lines inside the element that
-holds them, so that a one-word paragraph or heading beside content lines is not
-lost. <article> and <main> are a hint for widening only: a region inside one also takes
-in that element's lines (not those of another <article> nested in it) whose smoothed
-ratio reaches ``floor``. An <article> without a region of its own adds nothing, and lines
-outside are chosen by the same threshold: unmarked prose there counts as content. What stands in menus, headers, footers, asides, forms, scripts, styles,
+are content regions. Regions are widened by distance, so that one-word paragraphs and
+headings beside or between content lines are not lost: a line joins that lies between two lines of regions
+in the same container, or at most ``BESIDE`` lines of that container before or after one. Only lines whose own ratio reaches
+``floor`` widen a region, and a container with none of them holds none.
+<article> and <main> are a hint for widening only: inside one that holds a region, lines
+whose smoothed ratio reaches ``floor`` count as regions too (not those of another <article>
+nested in it), and no distance is too large: a long run of short lines is the article's. An <article> without a region of its own adds
+nothing, and lines outside are chosen by the same threshold: unmarked prose there
+counts as content. What stands in menus, headers, footers, asides, forms, scripts, styles,
 notices, adverts or reader comments, by tag, role, class or id, is no line at all.
 
 Defined results: a null or empty page, or one without content, gives an empty text;
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -48,6 +52,8 @@ MARKS = frozenset(
 MARK_STARTS = ("comment", "advert", "adsense", "adslot", "sidebar", "cookie", "newsletter", "breadcrumb", "disqus", "navig", "popup", "sponsor", "subscri", "pagina")
 #: containers inside which a region is widened down to the lower threshold
 HOLDERS = ("article", "main")
+#: lines of a container that a region outside such elements takes in on either side of it
+BESIDE = 5
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: blocks that are parts of a text, not containers of one
@@ -79,6 +85,10 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.stack: list[tuple[str, bool]] = []
+        # where open blocks stand in the stack, how many elements of each tag are open, and how many inline ones in each open block
+        self.blocks: list[int] = []
+        self.open = Counter[str]()
+        self.inline: list[Counter[str]] = [Counter()]
         self.containers: list[int] = [0]
         self.holders: list[int] = [0]
         self.opened = 0
@@ -104,15 +114,16 @@ class Lines(HTMLParser):
             if not self.skipping:
                 self.flush()
             # an open element of the kinds that this one ends is closed
-            for k in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[k][0]
-                if tag in _SELF_CLOSING.get(open_tag, ()):
-                    self.close_to(k)
-                    break
-                if open_tag in BLOCKS:
-                    break
+            if self.blocks and tag in _SELF_CLOSING.get(self.stack[self.blocks[-1]][0], ()):
+                self.close_to(self.blocks[-1])
         # a header inside the article is its own heading
         skip = tag in SKIPPED and not (tag == "header" and self.holders[-1]) or tag not in ("html", "body", "article", "main") and marked(attrs, self.holders[-1] > 0)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+        self.open[tag] += 1
         self.stack.append((tag, skip))
         if self.is_container(tag):
             self.opened += 1
@@ -130,7 +141,13 @@ class Lines(HTMLParser):
     def close_to(self, k: int) -> None:
         if not self.skipping and any(t in BLOCKS for t, _ in self.stack[k:]):
             self.flush()
-        for tag, skip in self.stack[k:]:
+        for tag, skip in reversed(self.stack[k:]):
+            self.open[tag] -= 1
+            if tag in BLOCKS:
+                self.blocks.pop()
+                self.inline.pop()
+            else:
+                self.inline[-1][tag] -= 1
             self.skipping -= skip
             if self.is_container(tag):
                 self.containers.pop()
@@ -142,13 +159,13 @@ class Lines(HTMLParser):
             self.tags += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self.close_to(k)
-                return
-            # a stray end of an inline element ends nothing outside its block
-            if tag not in BLOCKS and tag not in SKIPPED and self.stack[k][0] in BLOCKS:
-                return
+        # a stray end of an inline element ends nothing outside its block
+        if not (self.open[tag] if tag in BLOCKS or tag in SKIPPED else self.inline[-1][tag]):
+            return
+        k = len(self.stack) - 1
+        while self.stack[k][0] != tag:
+            k -= 1
+        self.close_to(k)
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
@@ -171,15 +188,28 @@ def content(lines: list[tuple[str, int, int, int, int]], sigma: float = 1.0, flo
     ratio = np.array([max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, linked, *_ in lines], dtype=float)
     smooth = smoothed(ratio, sigma)
     threshold = min(max(floor, float(smooth.std())), float(smooth.max()))
-    above = smooth >= threshold
+    core = smooth >= threshold
     # lines that are mostly links join no region
     menu = np.array([linked > (0.6 if holder else 0.5) * len(t) for t, _, linked, holder, _ in lines])
-    # a region is widened inside its article to lines of the lower threshold, then to all lines of its containers
-    holders = {x[3] for x, up in zip(lines, above, strict=True) if up and x[3]}
-    above = above | ~menu & (smooth >= floor) & np.array([x[3] in holders for x in lines])
-    regions = {x[4] for x, up in zip(lines, above, strict=True) if up}
-    above = above | ~menu & np.array([x[4] in regions for x in lines])
-    return [t for (t, *_), keep in zip(lines, above, strict=True) if keep]
+    holders = {x[3] for x, up in zip(lines, core, strict=True) if up and x[3]}
+    core = core | ~menu & (smooth >= floor) & np.array([x[3] in holders for x in lines])
+    held = np.array([x[3] in holders for x in lines])
+    # smoothing lifts lines beside a region: outside an article they neither widen it nor stand for a container of their own
+    seeds = core & (held | (ratio >= floor))
+    if not seeds.any():
+        seeds = core  # a page of nothing but thin lines
+    keep = core & held
+    places: dict[int, list[int]] = {}
+    for n, x in enumerate(lines):
+        places.setdefault(x[4], []).append(n)
+    for members in places.values():
+        at = np.array(members)
+        inside = np.flatnonzero(seeds[at])
+        if len(inside):
+            number = np.arange(len(at))
+            reach = np.where(held[at], len(at), BESIDE)
+            keep[at] |= core[at] | ~menu[at] & (number >= inside[0] - reach) & (number <= inside[-1] + reach)
+    return [t for (t, *_), k in zip(lines, keep, strict=True) if k]
 
 
 def main_text(html: str | None) -> str:

@@ -1,6 +1,7 @@
 """Operators that judge texts one by one: quality counts, secrets, BPE, token counts, licences, HTML."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -375,6 +376,79 @@ def test_regions_choose_among_all_lines():
     assert got == "\n\n".join([long.strip()] * 2 + [short] * 6)
 
 
+def brute_main_text(parts):
+    """Text by the stated rules for pages of plain lines: (container, tags, text) in page order, no links, no <article>."""
+    ratios = [len(t) / tags for _, tags, t in parts]
+    weight = [math.exp(-0.5 * d * d) for d in range(4)]
+    near = lambda n: [k for k in range(len(parts)) if abs(k - n) <= 3]
+    smooth = [sum(ratios[k] * weight[abs(k - n)] for k in near(n)) / sum(weight[abs(k - n)] for k in near(n)) for n in range(len(parts))]
+    mean = sum(smooth) / len(smooth)
+    threshold = min(max(10.0, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))), max(smooth))
+    core = [x >= threshold - 1e-9 for x in smooth]
+    strong = [up and r >= 10 for up, r in zip(core, ratios, strict=True)]
+    strong = strong if any(strong) else core
+    kept = []
+    for n, (c, _, text) in enumerate(parts):
+        own = [k for k, p in enumerate(parts) if p[0] == c]
+        up = [own.index(k) for k in own if strong[k]]
+        if up and (core[n] or up[0] - 5 <= own.index(n) <= up[-1] + 5):
+            kept.append(text)
+    return "\n\n".join(kept)
+
+
+def unmarked_page(rnd):
+    """Prose and short lines in plain <div>s: nothing but the ratio tells them apart."""
+    html, parts = [], []
+    for c in range(rnd.randint(2, 9)):
+        wordy = rnd.random() < 0.4
+        html.append("<div>")
+        for _ in range(rnd.randint(1, 14)):
+            text = "".join(rnd.choices("abcdefg", k=rnd.randint(60, 200) if wordy and rnd.random() < 0.7 else rnd.randint(1, 12)))
+            inner = rnd.randint(0, 3)
+            html.append("<p>" + "<i>" * inner + text + "</i>" * inner + "</p>")
+            parts.append((c, text))
+        html.append("</div>")
+    return "<body>" + "".join(html) + "</body>", parts
+
+
+def test_clusters_decide_on_pages_without_marks():
+    """Against brute force on pages without article, class or id; and what clustering changes there."""
+    rnd = random.Random(12)
+    changed = 0
+    for _ in range(150):
+        html, parts = unmarked_page(rnd)
+        parser = html_text.Lines()
+        parser.feed(html)
+        parser.close()
+        assert [x[0] for x in parser.lines] == [t for _, t in parts]
+        got = html_text.main_text(html)
+        assert got == brute_main_text([(c, x[1], t) for (c, t), x in zip(parts, parser.lines, strict=True)])
+        changed += got != "\n\n".join(t for _, t in parts)
+    assert changed > 100
+
+
+def test_boilerplate_that_only_the_ratio_tells():
+    prose = "<p>" + "Long sentences of the text itself stand here, one after another. " * 4 + "</p>"
+    junk = "".join(f"<p><b>{w}</b><i>x</i></p>" for w in ("Home", "News", "Shop", "Terms", "Top", "Press", "Jobs", "Help"))
+    text = html_text.main_text(f"<body><div>{junk}</div><div>{prose * 3}<p>Yes.</p>{prose}</div><div>{junk}</div></body>")
+    assert "Yes." in text and not any(w in text for w in ("Home", "Shop", "Terms", "Help"))
+
+
+@pytest.mark.parametrize("html", ["<section>" * 20_000 + "</article>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<div>" + "<i>" * 20_000 + "<p></p>" * 20_000, "<li><b>" * 20_000, "<table>" + "<tr><td>x" * 20_000])
+def test_stray_tags_cost_linear_time(html):
+    began = time.perf_counter()
+    html_text.main_text(html)
+    assert time.perf_counter() - began < 5
+
+
+def test_repeated_and_long_pages_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(5000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, "v", None)], "page_id bigint, url string, html string").selectExpr("*", "1 as text", "2 as _html", "3 as n_chars")
+    got = sorted((r.page_id, r.n_chars) for r in html_text.extract(pages).collect())
+    size = len("\n\n".join(f"Paragraph {i} of a long page." for i in range(5000)))
+    assert got == [(1, size), (1, size), (2, 0)]
+
+
 def test_broken_pages(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>menu</nav>") == ""
     assert html_text.main_text('<p>unclosed <b>bold<p>two<script>var a="</p>') == "unclosed bold\n\ntwo"
