@@ -7,9 +7,12 @@ from a seed and the document's id: the same input gives the same mixture on any
 cluster, and documents are judged on their own. Documents are then exploded by
 their counts and put in a global random order, again by hash.
 
-Sizes are counted per source before anything is shuffled; a table with one row per
-source and the cumulative distribution is joined back (see ``left_join_small``). The
-final sort ranges over hashes of (seed, id, copy), so that no source is hot.
+Sizes are counted per source before anything is shuffled. The cumulative distributions,
+a table with one row per source, are running sums over a window per source, of as many
+terms as lie within twelve standard deviations of the rate; they are written once and joined back
+(see ``left_join_small``; broadcast only if both rows and bytes are few). So the documents are
+read twice: to count, and to draw. MD5 is uniform, so the global order is cut into
+even ranges of its leading digits, without a sample of the rows to be sorted, and no source is hot.
 
 Defined results: null sources are a source of their own; rows with equal ids are
 drawn alike; a null id is hashed as the empty string; a source with target 0 goes;
@@ -21,14 +24,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantide.llm.common import left_join_small, table
+from quantide.llm.common import BROADCAST_ROWS, fresh, left_join_small, stored, table
 
 #: target shares follow size ** TEMPERATURE where none are given: 1 keeps the sizes, 0 makes sources equal
 TEMPERATURE = 0.5
 SEED = 17
+#: bytes of distributions that are broadcast
+BROADCAST_BYTES = 32 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -37,7 +42,7 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, source: str = "source") -> DataFrame:
+def rates(docs: DataFrame, targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, source: str = "source") -> DataFrame:
     """source, n and rate (the mean count of its documents); the mixture has ``size`` times the documents."""
     n = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
@@ -45,41 +50,54 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
     else:
         if not targets or any(not (v >= 0 and math.isfinite(v)) for v in targets.values()):
             raise ValueError("targets must be finite and not negative")
-        given = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))])
-        n = n.withColumn("weight", F.coalesce(F.when(F.col("source").isNotNull(), F.try_element_at(given, F.col("source"))), F.lit(0.0)))
+        named = [F.lit(x) for k, v in targets.items() if k is not None for x in (k, float(v))]
+        found = F.try_element_at(F.create_map(*named), F.col("source")) if named else F.lit(None)
+        n = n.withColumn("weight", F.coalesce(F.when(F.col("source").isNull(), F.lit(float(targets.get(None, 0.0)))).otherwise(found), F.lit(0.0)))
     totals = n.agg(F.sum("n").alias("total"), F.sum("weight").alias("weights"))
     share = F.try_divide(F.col("weight"), F.col("weights"))
     # the totals are a single row
     return n.join(F.broadcast(totals)).select("source", "n", F.coalesce(F.round(size * F.col("total") * share / F.col("n"), 9), F.lit(0.0)).alias("rate"))
 
 
+def _log_factorial(k: Column) -> Column:
+    """ln k!, by Stirling's series where k! is no 64-bit number; its error is below 1e-15."""
+    x = F.greatest(k, F.lit(1)).cast("double")
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(k <= 20, F.ln(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def with_distribution(sources: DataFrame) -> DataFrame:
-    """Add cdf: P(count <= k) for k = 0, 1, ... up to where less than about 1e-20 remains.
+    """source, rate, first and cdf: P(count <= k) for k = first, first + 1, ... within twelve standard deviations of the rate.
 
-    Terms are exp(-rate + k ln rate - ln k!), so that large rates don't underflow at once.
+    What lies outside has a probability below about 1e-20.
     """
-    last = F.ceil(F.col("rate") + 12 * F.sqrt(F.col("rate")) + 24).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_fact"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+    reach = F.ceil(12 * F.sqrt("rate")) + 24
+    terms = sources.select("source", "rate", F.explode(F.sequence(F.greatest(F.floor("rate") - reach, F.lit(0)), F.when(F.col("rate") > 0, F.ceil("rate") + reach).otherwise(F.lit(0)))).alias("k"))
+    p = F.when(F.col("rate") > 0, F.exp(F.col("k") * F.ln("rate") - F.col("rate") - _log_factorial(F.col("k")))).otherwise(F.lit(1.0))
+    upto = terms.withColumn("p", F.sum(p).over(Window.partitionBy("source").orderBy("k")))
+    rows = upto.groupBy("source", "rate").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("rows"))
+    return rows.select("source", "rate", F.col("rows")[0]["k"].cast("int").alias("first"), F.col("rows.p").alias("cdf"))
 
-    def step(acc: Column, k: Column) -> Column:
-        log_fact = F.when(k == 0, F.lit(0.0)).otherwise(acc["log_fact"] + F.ln(F.greatest(k, F.lit(1)).cast("double")))
-        p = F.exp(k * F.ln(F.col("rate")) - F.col("rate") - log_fact)
-        return F.struct(log_fact.alias("log_fact"), (acc["sum"] + p).alias("sum"), F.concat(acc["cdf"], F.array(acc["sum"] + p)).alias("cdf"))
 
-    cdf = F.aggregate(F.sequence(F.lit(0), last), start, step, lambda a: a["cdf"])
-    return sources.withColumn("cdf", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0))))
+def replicate(docs: DataFrame, key: str = "doc_id", source: str = "source", targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, seed: int = SEED, copy: str | None = "copy") -> DataFrame:
+    """The mixture, shuffled: all columns of the documents, and the copy's number from 0 if a name is given for it.
 
-
-def replicate(docs: DataFrame, key: str = "doc_id", source: str = "source", targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, seed: int = SEED, copy: str | None = "copy") -> DataFrame:
-    """The mixture, shuffled: all columns of the documents, and the copy's number from 0 if a name is given for it."""
-    dist = with_distribution(rates(docs, targets, temperature, size, source)).select(F.col("source").alias(source), F.col("cdf").alias("_mix_cdf"))
-    j = left_join_small(docs, dist, [source])
+    Partitions are in order and sorted; there are as many as ``spark.sql.shuffle.partitions``.
+    """
+    spark = docs.sparkSession
+    first, cdf, n, number, order, part = (fresh(f"_mix_{x}", docs.columns) for x in ("first", "cdf", "n", "copy", "order", "part"))
+    dist = stored(with_distribution(rates(docs, targets, temperature, size, source)), "mixture")
+    terms = dist.agg(F.sum(F.size("cdf"))).first()[0] or 0
+    small = dist.select(F.col("source").alias(source), F.col("first").alias(first), F.col("cdf").alias(cdf))
+    j = left_join_small(docs, small, [source], BROADCAST_ROWS if 8 * terms <= BROADCAST_BYTES else 0)
     u = uniform(F.lit(f"count{seed}"), F.col(key))
-    count = F.size(F.filter("_mix_cdf", lambda p: p <= u))
-    out = j.withColumn("_mix_n", count).where("_mix_n > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
-    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_mix_copy")))
-    out = out.withColumn("_mix_order", order).orderBy("_mix_order")
-    return out.select(*docs.columns, *([F.col("_mix_copy").alias(copy)] if copy else []))
+    count = F.col(first) + F.size(F.filter(cdf, lambda p: p <= u))
+    out = j.withColumn(n, count).where(F.col(n) > 0).withColumn(number, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    out = out.withColumn(order, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(number))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leading = F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
+    out = out.withColumn(part, F.shiftright(leading * parts, 32).cast("int")).repartitionById(parts, part).sortWithinPartitions(order)
+    return out.select(*docs.columns, *([F.col(number).alias(copy)] if copy else []))
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import os
 import random
 from collections import Counter
@@ -104,6 +105,32 @@ def test_mixing_targets(spark):
     assert [r.doc_id for r in out.collect()] == [r.doc_id for r in mixing.replicate(docs.repartition(7), targets={"b": 2, "a": 2}, copy=None).collect()]
     with pytest.raises(ValueError):
         mixing.rates(docs, {"a": -1})
+    nulls = documents(spark, {None: 300, "a": 30})
+    assert {r.source for r in mixing.replicate(nulls, targets={None: 1.0}).collect()} == {None} and mixing.replicate(nulls, targets={None: 0.0}).count() == 0
+
+
+def test_mixing_order_and_clashing_names(spark):
+    """Partitions are in order of the hash; rows and columns survive names that the operator uses inside."""
+    docs = documents(spark, {"a": 500, "b": 50}).selectExpr("*", "1 as cdf", "2 as n", "3 as rate", "4 as first", "5 as _mix_n", "6 as _mix_order", "7 as _salt", "8 as _r_source", "9 as k")
+    out = mixing.replicate(docs)
+    assert out.columns == [*docs.columns, "copy"] and out.where("cdf <> 1 or _mix_n <> 5 or k <> 9").count() == 0
+    order = [hashlib.md5(f"order{mixing.SEED}|{r.doc_id}|{r.copy}".encode()).hexdigest() for r in out.collect()]
+    assert order == sorted(order) and len(order) > 400
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.01, 3.0, 19.5, 150.0, 4000.0])
+def test_distribution_in_a_window_of_terms(spark, rate):
+    d = mixing.with_distribution(spark.createDataFrame([("s", rate)], "source string, rate double")).first()
+    total, p = 0.0, math.exp(-rate) if rate < 700 else None
+    if p is None:
+        assert len(d.cdf) < 30 * math.sqrt(rate) + 60 and d.cdf[-1] == pytest.approx(1, abs=1e-9) and d.cdf[int(rate) - d["first"]] == pytest.approx(0.5, abs=0.01)
+        return
+    for k in range(d["first"] + len(d.cdf)):
+        p = p * rate / k if k else p
+        total += p
+        assert k < d["first"] or d.cdf[k - d["first"]] == pytest.approx(total, abs=1e-12)
 
 
 def test_join_beyond_the_broadcast_limit(spark):
