@@ -5,18 +5,24 @@ an earlier response with the same payload) and a metadata record; request and
 metadata point at the response through WARC-Concurrent-To. Archives are gzipped
 files written by Spark's own text sink, whose line separator is the blank line that
 ends a record: so the commit protocol and any shared file system work as for other
-tables. Reading takes whole files of a bounded size and cuts records by their
-Content-Length, so payloads may hold anything. Assembly joins the three kinds of
-records by the concurrent-to identifiers and emits one nested row per capture.
+tables. Files are bounded by bytes: captures are written in classes of payload sizes, each with
+its own number of captures to a file. Reading takes whole files and cuts records by their
+Content-Length, so payloads may hold anything; every archive is read and parsed once.
+Assembly groups the three kinds of records by the concurrent-to identifiers and emits one
+nested row per capture. A revisit is resolved through its WARC-Refers-To identifier, and its
+digest must be that of the record it refers to.
 
 Which capture is the response: of captures with equal payloads of at least
 ``least_bytes`` bytes, those with the smallest id; the rest revisit it. Equal
 payloads are found by an aggregate over digests, so a payload that a third of all
-captures share is counted before it is shuffled.
+captures share is counted before it is shuffled; the result is broadcast if it is small, and else
+joined over salts.
 
 Defined results: a null payload counts as empty; a null id is kept and neither
 wins nor loses against other ids (a group of null ids only is all response);
-repeated rows of the smallest id are all responses; a null URL is written as an
+repeated rows of the smallest id are all responses; captures equal in id, URL and payload have
+records with equal identifiers, which are assembled once and emitted as often as they were written; a revisit of a record that isn't
+there has no refers_to; a null URL is written as an
 empty target; an empty table gives an archive without records and no rows; extra
 columns are ignored.
 """
@@ -33,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantide.llm.common import BROADCAST_ROWS, shared_path, stored, table
+from quantide.llm.common import left_join_small, shared_path, stored, table
 
 CRLF = "\r\n"
-#: captures in one archive file; with a page of 4 kB this is some 8 MB before compression
-CAPTURES_PER_FILE = 2_000
-#: archives larger than this many bytes are refused, not truncated
-LARGEST_FILE = 512 << 20
+#: payloads up to so many bytes, and how many captures go to one archive file: at most some 130 MB before compression, or one capture
+SIZE_CLASSES = ((64 << 10, 2_000), (4 << 20, 32), (1 << 31, 1))
+#: archives of others that are larger than this many bytes are refused, not truncated
+LARGEST_FILE = 1 << 30
 RECORD = "record_id string, kind string, concurrent_to string, refers_to string, target_uri string, payload_digest string, block binary"
 
 
@@ -60,19 +66,19 @@ def typed(pages: DataFrame, key: str = "page_id", payload: str = "html", url: st
     """key, url, payload, payload_bytes, payload_digest, record_type and refers_to of every capture."""
     p = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    first = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = p.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
+    first = first.agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
     first = stored(first.where("n > 1").select("payload_digest", "first"), "repeated-payloads")
-    # few repeated payloads are broadcast, so that payloads aren't shuffled; the aggregate above has counted them
-    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    out = p.join(F.broadcast(first) if few else first, "payload_digest", "left")
-    revisit = F.coalesce(F.col("key") != F.col("first"), F.lit(False))
-    return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
+    out = left_join_small(p, first, ["payload_digest"], salts=16)
+    revisit = F.coalesce(F.col("key") != F.col("first.key"), F.lit(False))
+    refers = F.when(revisit, F.col("first.key")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_url")
+    return out.select("key", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), *refers)
 
 
 def record_texts(captures: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One row per record (column ``value``), without the blank line that ends it."""
-    c = captures.withColumn("id", _uuid(F.lit("capture"), F.col("key"), F.col("payload_digest"), F.when(F.col("record_type") == "revisit", F.lit(1)).otherwise(F.lit(0))))
-    first = _uuid(F.lit("capture"), F.col("refers_to"), F.col("payload_digest"), F.lit(0))
+    c = captures.withColumn("id", _uuid(F.lit("capture"), F.col("key"), F.col("url"), F.col("payload_digest"), F.when(F.col("record_type") == "revisit", F.lit(1)).otherwise(F.lit(0))))
+    first = _uuid(F.lit("capture"), F.col("refers_to"), F.col("refers_url"), F.col("payload_digest"), F.lit(0))
     cat = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x])
 
     def record(kind: Column | str, rid: Column, extra: Column, kind_of_block: str, block: Column) -> Column:
@@ -94,7 +100,7 @@ def record_texts(captures: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Dat
     path = F.coalesce(F.nullif(F.regexp_extract("url", "^[a-z]+://[^/]*([^#\\r\\n]*)", 1), F.lit("")), F.lit("/"))
     host = F.regexp_extract("url", "^[a-z]+://([^/?#\\r\\n]*)", 1)
     request = record("request", _uuid(F.lit("request"), F.col("id")), beside, "application/http; msgtype=request", cat("GET ", path, " HTTP/1.1", CRLF, "Host: ", host, CRLF, CRLF))
-    fields = cat("capture-key: ", F.coalesce(F.col("key").cast("string"), F.lit("")), CRLF, "refers-to-key: ", F.coalesce(F.col("refers_to").cast("string"), F.lit("")), CRLF)
+    fields = cat("capture-key: ", F.coalesce(F.col("key").cast("string"), F.lit("")), CRLF)
     metadata = record("metadata", _uuid(F.lit("metadata"), F.col("id")), beside, "application/warc-fields", fields)
     return c.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
@@ -104,8 +110,16 @@ def write(captures: DataFrame, path: str) -> None:
     info = CRLF.join(["software: quantide", "format: WARC File Format 1.1", ""])
     head = CRLF.join(["WARC/1.1", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-000000000000>", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(info)}", "", info])
     spark = captures.sparkSession
-    records = record_texts(captures).unionByName(spark.createDataFrame([(head,)], "value string"))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).option("compression", "gzip").text(path)
+    largest = captures.agg(F.max("payload_bytes")).first()[0] or 0
+    above = -1
+    for most, per_file in SIZE_CLASSES:
+        records = record_texts(captures.where((F.col("payload_bytes") > above) & (F.col("payload_bytes") <= most)))
+        if above < 0:
+            records = records.unionByName(spark.createDataFrame([(head,)], "value string"))
+        records.write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * per_file).option("compression", "gzip").text(path)
+        above = most
+        if largest <= most:
+            break
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -161,27 +175,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, kind, target_uri, and the structs response, request and metadata.
 
-    The join keys are record ids, one capture each, so no key is hot. A capture lacking a request or metadata record has null there.
+    Records are grouped by the identifier of their capture, one capture each, so no key is hot. A capture lacking a request or metadata record has null there.
     """
-    main = records.where(F.col("kind").isin("response", "revisit"))
-    beside = lambda kind, name: records.where(F.col("kind") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(F.col("record_id").alias("id"), "block")).alias(name))
-    out = main.join(beside("request", "request"), "record_id", "left").join(beside("metadata", "metadata"), "record_id", "left")
-    response = F.struct("block", "payload_digest", "refers_to")
-    return out.select("record_id", "kind", "target_uri", response.alias("response"), "request", "metadata")
+    kind = F.col("kind")
+    main = kind.isin("response", "revisit")
+    r = records.withColumn("capture", F.when(kind.isin("request", "metadata"), F.col("concurrent_to")).otherwise(F.col("record_id")))
+    beside = lambda k: F.min(F.when(kind == k, F.struct(F.col("record_id").alias("id"), "block"))).alias(k)
+    found = F.min(F.when(main, F.struct("kind", "target_uri", "payload_digest", "refers_to", "block"))).alias("main")
+    out = r.groupBy("capture").agg(found, F.count(F.when(main, 1)).alias("copies"), beside("request"), beside("metadata")).where("copies > 0")
+    # captures written several times with the same identifier
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    response = F.struct("main.block", "main.payload_digest", "main.refers_to")
+    return out.select(F.col("capture").alias("record_id"), "main.kind", "main.target_uri", response.alias("response"), "request", "metadata")
 
 
 def digests(captures: DataFrame, key: str = "page_id", key_type: str = "bigint") -> DataFrame:
     """key, payload_bytes, payload_digest, record_type and refers_to of assembled captures.
 
     Length and digest of a response are taken from its bytes, and the digest must be the one its header states.
-    A revisit has no payload: its length and digest are those that its headers state.
+    A revisit has no payload: its length is the one that its headers state, its digest must be that of the record it refers to, whose key is refers_to.
     """
-    flat = captures.select("kind", "response.block", F.col("response.payload_digest").alias("stated"), F.col("metadata.block").cast("string").alias("fields"))
+    flat = captures.select("record_id", "kind", "response.block", F.col("response.payload_digest").alias("stated"), F.col("response.refers_to").alias("refers_id"), F.col("metadata.block").cast("string").alias("fields"))
+    names = ["record_id", "key", "payload_bytes", "payload_digest", "record_type", "refers_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for kind, block, stated, fields in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out: list[list] = [[] for _ in names]
+            for record, kind, block, stated, refers, fields in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 stated = stated.removeprefix("sha1:")
                 if kind == "response":
@@ -191,12 +211,17 @@ def digests(captures: DataFrame, key: str = "page_id", key_type: str = "bigint")
                 else:
                     size, digest = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), stated
                 known = dict(x.partition(": ")[::2] for x in (fields or "").split(CRLF) if x)
-                for to, value in zip(out, (known.get("capture-key") or None, size, digest, kind, known.get("refers-to-key") or None), strict=True):
+                for to, value in zip(out, (record, known.get("capture-key") or None, size, digest, kind, refers), strict=True):
                     to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == 1 else pa.string()) for k, v in enumerate(out)], names=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    found = flat.mapInArrow(run, "key string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return found.select(F.col("key").cast(key_type).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key_type).alias("refers_to"))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == 2 else pa.string()) for k, v in enumerate(out)], names=names)
+
+    found = stored(flat.mapInArrow(run, "record_id string, key string, payload_bytes long, payload_digest string, record_type string, refers_id string"), "captures")
+    referred = found.where("refers_id is not null").select(F.col("refers_id").alias("record_id")).distinct()
+    first = found.where("record_type = 'response'").join(referred, "record_id", "left_semi").groupBy(F.col("record_id").alias("refers_id")).agg(F.min("key").alias("refers_to"), F.min("payload_digest").alias("first_digest"))
+    j = left_join_small(found, stored(first, "referred"), ["refers_id"])
+    same = F.coalesce(F.col("first_digest") == F.col("payload_digest"), F.lit(True))
+    digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit differs from the record it refers to")))
+    return j.select(F.col("key").cast(key_type).alias(key), "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("refers_to").cast(key_type).alias("refers_to"))
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,33 @@ def test_warc_least_bytes_and_empty(spark):
     assert warc.digests(assembled).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZE_CLASSES", ((100, 50), (1000, 2), (1 << 31, 1)))
+    pages = spark.createDataFrame([(i, "u", "x" * (10 if i < 60 else 900 if i < 70 else 5000 + i)) for i in range(73)], PAGES).coalesce(1)
+    path, assembled = through_archives(spark, pages, least_bytes=1000)
+    sizes = Counter()
+    for name in os.listdir(path.removeprefix("file:")):
+        if name.endswith(".gz") and not name.startswith("."):
+            with gzip.open(f"{path.removeprefix('file:')}/{name}") as f:
+                blocks = [len(b) for h, b in warc.parse(f) if h["warc-type"] == "response"]
+                sizes[len(blocks), max(blocks, default=0) > 1000] += 1
+    assert sizes[1, True] == 3 and sizes[2, False] == 5 and max(n for n, _ in sizes) <= 50
+    assert {r.page_id for r in warc.digests(assembled).collect()} == set(range(73))
+
+
+def test_revisits_are_resolved_and_checked(spark):
+    from pyspark.errors import PySparkException
+
+    _, assembled = through_archives(spark, spark.createDataFrame([(1, "u", "same"), (2, "v", "same")], PAGES))
+    # without the record it refers to, a revisit has no refers_to; with another payload there, it is refused
+    (only,) = warc.digests(assembled.where("kind = 'revisit'")).collect()
+    assert (only.page_id, only.record_type, only.refers_to) == (2, "revisit", None)
+    other = base64.b32encode(hashlib.sha1(b"other").digest()).decode()
+    forged = assembled.withColumn("response", F.when(F.col("kind") == "revisit", F.col("response").withField("payload_digest", F.lit(f"sha1:{other}"))).otherwise(F.col("response")))
+    with pytest.raises(PySparkException):
+        warc.digests(forged).collect()
+
+
 def test_warc_damage():
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc")))
