@@ -70,10 +70,10 @@ class TreeBPE:
         chars = byte_alphabet()
         ranks = {bytes(chars[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         # ranks must order merges as the file does: true where ids were given in the order of merging
-        for n, merge in enumerate(spec["model"]["merges"][:2000]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            if ranks[bytes(chars[c] for c in a + b)] != 256 + n:
-                raise ValueError("this vocabulary doesn't number its tokens in the order of merging")
+        words = spec["model"]["vocab"]
+        merged = [words["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in spec["model"]["merges"]]
+        if sorted(ranks.values())[256:] != merged:
+            raise ValueError("this vocabulary doesn't number its tokens in the order of merging")
         self.native = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = special
         self.find_special = re.compile("|".join(map(re.escape, special))) if special else None

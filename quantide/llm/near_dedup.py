@@ -21,16 +21,22 @@ pivot, the one with the least weight of its own; links join components; buckets
 members are in one component are done, and in the others the next pivots (see
 ``PIVOTS``) are compared with the members of other components after them, until no
 bucket is left with an uncompared pair of two components. A compared pair goes through the whole signature first (see ``LEAST_AGREEMENT``) and is then
-verified on the exact multisets of both texts.
+verified on the multisets of both texts; shingles are told apart by 64-bit hashes throughout.
+
+Buckets with many members (see ``PER_CUT``) are cut by member for every join, and their
+pivots are found in two steps, first in each cut: no task holds a bucket.
 
 Components are found by hooking to smaller neighbours and doubling, each step written
 to the shared folder. Nothing of the corpus comes to the driver but counts.
 
 Defined results: a null text counts as empty; equal texts, empty ones too, are one
 class; words are runs of non-space characters (ASCII spaces); a text of one to four
-words is one shingle of all of them; a text without words has no near copies; the
-class id is its smallest id, or a hash above 2**62 if it has none; rows that share an
-id share a class; an empty table gives an empty result; extra columns are kept by
+words is one shingle of all of them; a text without words has no near copies; rows are
+judged by their texts: equal texts are in one class, and rows that share an id are so only if
+their texts are equal or near; the class id is its smallest id, where that stands for one text only,
+or else for that of its texts with the smallest digest; a class without such an id has a hash above
+2**62; ``keep_one`` keeps of equal texts that with the smallest id, and one of rows equal in id and text; an empty
+table gives an empty result; extra columns, whatever their names, are kept by
 ``keep_one`` and left alone by ``classes``.
 """
 
@@ -44,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantide.llm.common import drop_stored, stored, table
+from quantide.llm.common import drop_stored, fresh, left_join_small, stored, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -52,6 +58,8 @@ BANDS, ROWS = 42, 6
 COMPONENTS = BANDS * ROWS
 #: members of a bucket that are compared with the others in the first, second and each later round
 PIVOTS = (1, 32, 1024)
+#: members of a bucket that are joined as one
+PER_CUT = 256
 #: hash classes by which shared weights bound a pair's overlap
 PARTS = 64
 #: of the components: nearly five standard deviations below what a pair at the threshold has (lost with probability 1e-6)
@@ -252,10 +260,10 @@ def _few(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """node and text of each of the nodes (node, digest); a node is an id, or stands for rows without one."""
+    """node and text of each of the nodes (node, digest, rep: the id that stands for the text, if any)."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", _digest(F.col("text")))
     few = F.broadcast(nodes) if _few(nodes) else nodes
-    found = source.join(few, "digest").where("id = node or id is null").select("node", "text")
+    found = source.join(few, "digest").where("id <=> rep").select("node", "text")
     return stored(found.dropDuplicates(["node"]), "texts")
 
 
@@ -270,15 +278,15 @@ def _shared_weights(texts: DataFrame) -> DataFrame:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             for at, some in _chunks(batch.column(1).to_pylist()):
                 doc, shingle, count = bags(some)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at + doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32))], names=["node", "shingle", "n"])
+                weight = np.bincount(doc, count, minlength=len(some)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at + doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32)), pa.array(weight[doc])], names=["node", "shingle", "n", "weight"])
 
-    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, n int")
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, n int, weight long")
     held = rows.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
-    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    parts = rows.join(held, "shingle").groupBy("node", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.sum("n").cast("int").alias("n"))
-    shared = parts.groupBy("node").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
+    parts = rows.join(held, "shingle").groupBy("node", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.sum("n").cast("int").alias("n"), F.max("weight").alias("weight"))
+    shared = parts.groupBy("node").agg(F.max("weight").alias("weight"), F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
     each = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
-    return weight.join(shared, "node").select("node", "weight", "shared", each.alias("parts"))
+    return shared.select("node", "weight", "shared", each.alias("parts"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -348,21 +356,36 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def _node(key: Column, digest: Column) -> Column:
-    """What stands for a text: an id, or where there is none a hash above all likely ids."""
-    return F.coalesce(key, F.shiftrightunsigned(F.xxhash64(digest), 2) + F.lit(1 << 62))
+def _representatives(sketched: DataFrame) -> DataFrame:
+    """digest, rep, node, bands and sig, one row per text.
 
+    ``rep`` is its smallest id, which is also its node; a text without an id, or whose id stands for another text, has a hash as its node.
+    """
+    reps = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    reps = stored(reps, "reps")
+    twice = stored(reps.where("rep is not null").groupBy("rep").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", "first"), "twice")
+    named = left_join_small(reps, twice, ["rep"])
+    hashed = F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(1 << 62)
+    own = F.col("rep").isNotNull() & F.coalesce(F.col("first") == F.col("digest"), F.lit(True))
+    return named.select("digest", "rep", F.when(own, F.col("rep")).otherwise(hashed).alias("node"), "bands", "sig")
 
-def _representatives(sketched: DataFrame) -> DataFrame:
-    """digest, node, bands and sig, one row per text: its smallest id stands for equal texts, a hash where there is none."""
-    reps = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
-    reps = stored(reps.select("digest", _node(F.col("id"), F.col("digest")).alias("node"), "bands", "sig"), "reps")
-    # an id with several texts takes part with one of them
-    twice = stored(reps.groupBy("node").agg(F.min("digest").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "keep"), "twice")
-    if twice.isEmpty():
-        return reps
-    other = F.coalesce(F.col("digest") != F.col("keep"), F.lit(False))
-    return stored(reps.join(twice, "node", "left").select("digest", "node", F.when(~other, F.col("bands")).alias("bands"), "sig"), "reps")
+
+def _cuts(df: DataFrame) -> DataFrame:
+    """One row for each cut of the row's bucket."""
+    return df.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+
+
+def _members(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, cut, cuts) of the buckets with several nodes."""
+    met = buckets.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("bucket", "n")
+    met, per = stored(met, "met"), PER_CUT
+    # so that the buckets to be cut are few enough to be broadcast
+    while not _few(met.where(F.col("n") > per)):
+        per *= 8
+    large = F.broadcast(met.where(F.col("n") > per).select("bucket", F.ceil(F.col("n") / per).cast("int").alias("cuts")))
+    of_bucket = lambda df: df.join(large, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    members = of_bucket(buckets).withColumn("cut", F.pmod(F.hash("node"), F.col("cuts")).cast("int"))
+    return stored(members.join(_cuts(of_bucket(met)).select("bucket", "cut"), ["bucket", "cut"]), "members")
 
 
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -371,19 +394,25 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         rows = members.withColumn("comp", F.col("node"))
     else:
         rows = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    return stored(rows.join(several, "bucket"), "members")
+    several = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("cuts").alias("cuts")).where("x < y")
+    return stored(rows.join(_cuts(several).select("bucket", "cut"), ["bucket", "cut"]), "members")
+
+
+def _pivots(members: DataFrame, most: int) -> DataFrame:
+    """The first members of each bucket by place, first in each cut, then of those."""
+    for by in (["bucket", "cut"], ["bucket"]):
+        w = Window.partitionBy(*by).orderBy("place", "node")
+        members = members.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    return stored(members.select("bucket", "cuts", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared", "parts")]), "pivots")
 
 
 def _classified(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """id, node (what stands for the row) and comp (its class) of each row."""
+    """id, digest and comp (its class) of each row, and whether it is what the class keeps (or equal to that in id and text)."""
     sketched = stored(_sketched(docs, key, text), "sketches")
-    reps = _representatives(sketched)
-    buckets = reps.select("node", F.explode("bands").alias("bucket"))
-    met = buckets.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
-    members = stored(buckets.join(met, "bucket"), "members")
-    nodes = members.select("node").distinct()
-    texts = _texts(docs, stored(reps.select("node", "digest").join(nodes, "node"), "nodes"), key, text)
+    reps = stored(_representatives(sketched), "reps")
+    members = _members(reps.select("node", F.explode("bands").alias("bucket")))
+    nodes = stored(reps.select("node", "digest", "rep").join(members.select("node").distinct(), "node"), "nodes")
+    texts = _texts(docs, nodes, key, text)
     weights = stored(_shared_weights(texts).where(F.col("shared") >= threshold * F.col("weight") - 1e-9), "weights")
     signed = stored(reps.select("node", "sig").join(weights.select("node"), "node"), "signed")
     place = F.round(1e6 * (1 - F.col("shared") / F.col("weight"))).cast("int")
@@ -395,17 +424,15 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float) -> DataF
         members = _mixed(members, labels)
         if members.isEmpty():
             break
-        most = PIVOTS[min(step, len(PIVOTS) - 1)]
+        pivots = _pivots(members, PIVOTS[min(step, len(PIVOTS) - 1)])
         step += 1
-        ranked = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("place", "node")))
-        pivots = stored(ranked.where(F.col("k") <= most).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared", "parts")]), "pivots")
         # a pivot meets those after it: the ones before it have been pivots with it or earlier
         after = (F.col("place") > F.col("p_place")) | (F.col("place") == F.col("p_place")) & (F.col("node") > F.col("p_node"))
         # no overlap exceeds what either has in common with others
         least = threshold / (1 + threshold) * (F.col("weight") + F.col("p_weight")) - 1e-9
         overlap = F.aggregate(F.zip_with("parts", "p_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
         possible = (F.least("shared", "p_shared") >= least) & (overlap >= least)
-        pairs = members.join(pivots, "bucket").where((F.col("comp") != F.col("p_comp")) & after & possible)
+        pairs = members.join(_cuts(pivots).drop("cuts"), ["bucket", "cut"]).where((F.col("comp") != F.col("p_comp")) & after & possible)
         pairs = pairs.select(F.greatest("node", "p_node").alias("a"), F.least("node", "p_node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -418,12 +445,13 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float) -> DataF
             compared = pairs if compared is None else compared.unionByName(pairs)
         done = pivots.select("bucket", F.col("p_node").alias("node"))
         members = members.drop("comp").join(done, ["bucket", "node"], "left_anti")
-    out = sketched.select("id", "digest").join(reps.select("digest", F.col("node").alias("rep")), "digest")
+    out = sketched.select("id", "digest").join(reps.select("digest", "rep", "node"), "digest")
     if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+        out = out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
-        out = out.withColumn("comp", F.col("rep"))
-    return out.select("id", _node(F.col("id"), F.col("digest")).alias("node"), F.coalesce("comp", "rep").alias("comp"))
+        out = out.withColumn("comp", F.col("node"))
+    kept = (F.col("node") == F.col("comp")) & F.col("id").eqNullSafe(F.col("rep"))
+    return out.select("id", "digest", "comp", kept.alias("kept"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -433,18 +461,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with one of each class kept: that with the smallest id. All columns stay as they were."""
-    found = stored(_classified(docs, key, text, threshold).select("node", "comp"), "classes")
-    gone = found.where("node <> comp").select("node").distinct()
-    marked = docs.withColumn("_node", _node(F.col(key).cast("long"), _digest(F.col(text))))
-    kept = marked.join(F.broadcast(gone) if _few(gone) else gone, F.col("_node") == F.col("node"), "left_anti")
-    # repeated rows stand for the same class: of those, one is kept
-    again = stored(found.where("node = comp").groupBy("node").count().where("count > 1").select(F.col("node").alias("n2")), "again")
+    """The documents with one of each class kept. All columns stay as they were."""
+    found = stored(_classified(docs, key, text, threshold).select("id", "digest", "kept"), "classes")
+    mine = [fresh(f"_{c}", docs.columns) for c in ("id", "digest")]
+    theirs = [fresh(f"_other_{c}", docs.columns) for c in ("id", "digest")]
+    marked = docs.withColumn(mine[0], F.col(key).cast("long")).withColumn(mine[1], _digest(F.col(text)))
+
+    def of(rows: DataFrame, left: DataFrame, how: str) -> DataFrame:
+        rows = rows.select(F.col("id").alias(theirs[0]), F.col("digest").alias(theirs[1]))
+        on = F.col(mine[0]).eqNullSafe(F.col(theirs[0])) & (F.col(mine[1]) == F.col(theirs[1]))
+        return left.join(F.broadcast(rows) if _few(rows) else rows, on, how)
+
+    kept = of(found.where("not kept").select("id", "digest").distinct(), marked, "left_anti")
+    # of rows that are equal in id and text one is kept
+    again = stored(found.where("kept").groupBy("id", "digest").count().where("count > 1").select("id", "digest"), "again")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    few = F.broadcast(again) if _few(again) else again
-    once = kept.join(few, F.col("_node") == F.col("n2"), "left_semi").dropDuplicates(["_node"])
-    return kept.join(few, F.col("_node") == F.col("n2"), "left_anti").unionByName(once).select(*docs.columns)
+    once = of(again, kept, "left_semi").dropDuplicates(mine)
+    return of(again, kept, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

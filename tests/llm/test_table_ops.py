@@ -241,9 +241,10 @@ def test_bags_and_signatures():
     assert abs(np.mean(errors)) < 0.015 and np.sqrt(np.mean(np.square(errors))) < 0.05
 
 
-@pytest.mark.parametrize("pivots", [(1, 32, 1024), (1, 2)])
-def test_near_duplicates(spark, monkeypatch, pivots):
+@pytest.mark.parametrize(("pivots", "per_cut"), [((1, 32, 1024), 256), ((1, 2), 3)])
+def test_near_duplicates(spark, monkeypatch, pivots, per_cut):
     monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dedup, "PER_CUT", per_cut)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("node", F.lit(1)).withColumn("bucket", F.lit("x"))
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
@@ -261,6 +262,23 @@ def test_keep_one(spark):
     assert ids == sorted([(5, 3), (3, 3), (3, 3), (4, 4), (None, 3), (7, 7), (8, 7), (None, 99), (None, 99)], key=str)
 
 
+def test_ids_with_several_texts_and_clashing_names(spark):
+    """Each text of an id is judged by itself; columns of the documents may be called anything."""
+    a, b = "a b c d e f g h i j", "other words stand here and there and so on"
+    near = b + " more"
+    rows = [(3, a), (5, a), (5, b), (6, near), (9, "alone with its own words to the end"), (9, "another text of the same id and no other")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    names = ["node", "n2", "_node", "_id", "_digest", "digest", "id", "bucket", "n", "comp", "kept", "_other_id", "rep", "first"]
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, a), (5, b), rows[4], rows[5]])
+    # repeated rows change nothing
+    assert sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs.union(docs)).collect()) == sorted((r.doc_id, r.text) for r in kept.collect())
+    got = [(r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect()]
+    assert len(got) == 6 and len({c for _, c in got}) == 4 and (5, 3) in got and (3, 3) in got
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 30)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]

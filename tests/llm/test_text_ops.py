@@ -1,6 +1,7 @@
 """Operators that judge texts one by one: quality counts, secrets, BPE, token counts, licences, HTML."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -270,6 +271,26 @@ def test_bpe_leaves_of_unsplit_text_run_in_threads(library):
     assert any(any(x.startswith(" and others") or x.startswith(" others") for x in texts) for texts in seen)
 
 
+def test_bpe_of_every_code_point(library):
+    """Each code point alone, between letters and before a space, in texts of a thousand."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(p + x for p in points[a : a + 1000]) for a in range(0, len(points), 1000) for x in ("a", " ", "")][: 3 * 200]
+    texts += ["".join(points[a : a + 4000]) for a in range(200_000, len(points), 4000)]
+    tree = bpe.encoder(bpe.default_vocabulary())
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tree.encode(text) == want.ids
+
+
+def test_bpe_refuses_ids_out_of_the_order_of_merging(tmp_path):
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[-1], merges[-2] = merges[-2], merges[-1]
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="order of merging"):
+        bpe.TreeBPE(str(tmp_path / "v.json"))
+
+
 def test_bpe_query(spark, library):
     texts = [None, *mixed_texts(30)]
     for r in bpe.round_trip(docs(spark, texts)).collect():
