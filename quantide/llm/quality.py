@@ -70,10 +70,12 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
     out = out.withColumn(lines, F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
     three = lambda i: [F.get(F.col(w), i + k) for k in range(3)]
     out = out.withColumn(hashes, F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(*three(i)))))
-    # only where hashes repeat: the windows with their places, sorted, so that equal windows become neighbours
-    placed = F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", *three(i)).alias("x"), i.alias("i")))
+    # only where hashes repeat: hashes with their places, sorted, so that equal windows become neighbours; neighbours' words are compared
+    placed = F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     out = out.withColumn(wins, F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(placed)))
-    same = lambda a, b: (F.get(F.col(wins), a)["h"] == F.get(F.col(wins), b)["h"]) & (F.get(F.col(wins), a)["x"] == F.get(F.col(wins), b)["x"])
+    at = lambda k: F.get(F.col(wins), k)
+    words = lambda k: F.array(*three(at(k)["i"]))
+    same = lambda a, b: (at(a)["h"] == at(b)["h"]) & (words(a) == words(b))
     twice = F.filter(F.col(wins), lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
     out = out.withColumn(again, F.transform(twice, lambda x: x["i"]))
     covered = F.array_distinct(F.flatten(F.array(F.col(again), F.transform(again, lambda i: i + 1), F.transform(again, lambda i: i + 2))))
