@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     out = ranked(bars, universe.clean(table).drop("ticker").withColumnRenamed("normalized_ticker", "ticker"), a.metric, a.interval, a.min_days)
     out.limit(a.print_top).show(truncate=False)
     if a.csv:
-        save_csv(out, a.csv, escape=True)
+        save_csv(out, a.csv, escape=True, one_file=True)
     if a.sqlite:
         save_sqlite(out, a.sqlite)
     return 0

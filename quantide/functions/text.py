@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantide.params import BACKFILL_DAYS, REDACTED, TRADING_DAYS_PER_YEAR, TRADING_MINUTES_PER_DAY
+from quantide.params import BACKFILL_DAYS, REDACTED, SENSITIVE, TRADING_DAYS_PER_YEAR, TRADING_MINUTES_PER_DAY
 
 TICKER_RULE = "^[A-Z]+[A-Z0-9.-]*$"
 
@@ -30,7 +30,7 @@ def title_of(c: Column) -> Column:
 
 def redacted(c: Column) -> Column:
     """A map with the values of sensitive keys replaced."""
-    return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike("password|passwd|secret|token|api_?key|auth|credential"), F.lit(REDACTED)).otherwise(v))
+    return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike(SENSITIVE.pattern), F.lit(REDACTED)).otherwise(v))
 
 
 def periods_per_year(interval: Column) -> Column:

@@ -31,8 +31,13 @@ def history(log: DataFrame, ticker: str | None = None, limit: int | None = None)
 def upserted(log: DataFrame, new: DataFrame, at: Column | None = None) -> DataFrame:
     """The log with new entries (ticker, note, client_timestamp) appended, numbered on from its last id."""
     last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("client_timestamp", "ticker"))
-    rows = new.join(F.broadcast(last)).withColumn("id", F.col("last") + k).withColumn("updated_at", at if at is not None else F.current_timestamp())
+    # numbered by offsets per day, so no window holds all rows
+    dated = new.withColumn("_day", F.to_date("client_timestamp"))
+    sizes = dated.groupBy("_day").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("_day").alias("_d"), (F.sum("n").over(Window.orderBy("_day")) - F.col("n")).alias("before"))
+    k = F.row_number().over(Window.partitionBy("_day").orderBy("client_timestamp", "ticker"))
+    numbered = dated.withColumn("k", k).join(before, F.col("_day").eqNullSafe(F.col("_d")))
+    rows = numbered.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("before") + F.col("k")).withColumn("updated_at", at if at is not None else F.current_timestamp())
     return log.unionByName(rows.withColumn("note", F.trim("note")).select(log.columns))
 
 

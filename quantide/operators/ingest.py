@@ -97,3 +97,8 @@ def refreshed_intervals(bars: DataFrame, lookback: dict[str, int], as_of: date)
     """Bars with an interval column, each interval within its own lookback in days."""
     days = F.create_map(*[F.lit(x) for k, v in lookback.items() for x in (k, v)])
     return bars.where(F.to_date("ts") >= F.date_sub(F.lit(as_of), F.try_element_at(days, F.col("interval"))))
+
+
+def error_counts(errors: DataFrame, by: tuple[str, ...] = ("code",)) -> DataFrame:
+    """n of errors by code (and whatever else is asked for)."""
+    return errors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

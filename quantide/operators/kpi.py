@@ -2,23 +2,39 @@
 
 Stages: fill by the sector's median, smooth per company, winsorise and scale within the
 sector, align directions, score (supervised, by principal components, or by the
-equal-weight fallback), rescale. All but the two models and the bootstrap are window
-expressions; those run once per sector on its feature rows.
+equal-weight fallback), rescale. No stage gathers a sector in one task: medians, quantiles,
+covariances and the sums of Newton's steps are aggregates by sector, joined back, and ranks are
+made by offsets of value blocks. What is solved in Python is one small matrix per sector.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def sector() -> WindowSpec:
-    return Window.partitionBy("sector")
+from quantide.functions.shared import written
+
+#: sectors whose aggregates are broadcast; beyond it they are joined by a shuffle
+BROADCAST_SECTORS = 20_000
+#: value blocks of a sector that are ranked apart
+BLOCKS = 64
+
+
+def by_sector(panel: DataFrame, small: DataFrame) -> DataFrame:
+    """The panel with the columns of a table that has one row per sector (named _s)."""
+    # written once, so that its rows are counted and joined without computing the panel again
+    small = written(small, "sectors")
+    few = small.limit(BROADCAST_SECTORS + 1).count() <= BROADCAST_SECTORS
+    return panel.join(F.broadcast(small) if few else small, F.col("sector").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def imputed(panel: DataFrame, features: list[str]) -> DataFrame:
-    return panel.withColumns({f: F.coalesce(F.col(f), F.median(f).over(sector())) for f in features})
+    j = _with_quantiles(panel, features, [0.5])
+    return j.withColumns({f: F.coalesce(F.col(f), F.col(f"{f}_q")[0]) for f in features}).select(panel.columns)
 
 
 def smoothed(panel: DataFrame, features: list[str], window: int = 4) -> DataFrame:
@@ -32,8 +48,7 @@ def _sector_quantiles(panel: DataFrame, features: list[str], qs: list[float]) ->
 
 
 def _with_quantiles(panel: DataFrame, features: list[str], qs: list[float]) -> DataFrame:
-    q = _sector_quantiles(panel, features, qs)
-    return panel.join(F.broadcast(q), F.col("sector").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return by_sector(panel, _sector_quantiles(panel, features, qs))
 
 
 def winsorised(panel: DataFrame, features: list[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
@@ -62,106 +77,170 @@ def aligned(panel: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:
     return panel.withColumns({f: F.col(f) * (1.0 if up else -1.0) for f, up in higher_is_better.items()})
 
 
-def percent_rank(c: str) -> Column:
-    """Rank in the sector in percent, equal values at their average rank."""
-    w = Window.partitionBy("sector").orderBy(c)
-    n = F.count(F.lit(1)).over(sector())
-    ties = F.count(F.lit(1)).over(Window.partitionBy("sector", c))
-    return 100 * (F.rank().over(w) + (ties - 1) / 2) / n
+def percent_ranked(panel: DataFrame, c: str, name: str) -> DataFrame:
+    """Add the rank in the sector in percent, equal values at their average rank; nulls rank first.
+
+    A sector is cut into value blocks by approximate quantiles; exact ranks are those in a block after the rows of the blocks before.
+    """
+    cuts = panel.groupBy(F.col("sector").alias("_s")).agg(F.percentile_approx(c, [k / BLOCKS for k in range(1, BLOCKS)], 2000).alias("_cuts"))
+    rows = by_sector(panel, cuts).withColumn("_b", F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col(c))))).drop("_cuts")
+    sizes = rows.groupBy("sector", "_b").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("sector")
+    before = sizes.select("sector", "_b", (F.sum("n").over(w.orderBy("_b")) - F.col("n")).alias("_before"), F.sum("n").over(w).alias("_n"))
+    packed = before.groupBy(F.col("sector").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_before"))).alias("_at"), F.max("_n").alias("_n"))
+    block = Window.partitionBy("sector", "_b")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("sector", "_b", c))
+    rows = rows.withColumn("_k", F.rank().over(block.orderBy(c)) + (ties - 1) / 2)
+    out = by_sector(rows, packed)
+    return out.withColumn(name, 100 * (F.try_element_at("_at", F.col("_b")) + F.col("_k")) / F.col("_n")).drop("_b", "_at", "_n", "_k")
 
 
 def fallback_scores(panel: DataFrame, features: list[str]) -> DataFrame:
-    """The equal-weight score: every row of a sector has the same raw value, so all tie."""
-    raw = sum((F.avg(f).over(sector()) for f in features[1:]), F.avg(features[0]).over(sector()))
-    out = panel.withColumn("_raw", raw).withColumn("score", percent_rank("_raw")).drop("_raw")
+    """The equal-weight score: every row of a sector has the same raw value, so all share the average rank."""
+    n = panel.groupBy(F.col("sector").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    out = by_sector(panel, n).withColumn("score", 100 * (F.col("_n") + 1) / (2 * F.col("_n"))).drop("_n")
     return out.withColumns({f"contrib_{f}": F.col(f) for f in features})
 
 
-def _schema(panel: DataFrame, features: list[str]) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in panel.dtypes) + ", score double" + "".join(f", `contrib_{f}` double" for f in features)
+def components(panel: DataFrame, features: list[str], variance: float = 0.7) -> DataFrame:
+    """_s, means, loadings (one array per component) and ratios of the first components of each sector's covariance that explain ``variance``.
+
+    Sums of products are aggregates; only a sector's matrix of them comes to a Python task. Sectors with fewer than two rows or a null feature have none.
+    A component's sign makes its largest loading positive.
+    """
+    names = [(a, b) for k, a in enumerate(features) for b in features[k:]]
+    g = panel.groupBy(F.col("sector").alias("_s")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(f) for f in features]).alias("means"),
+        F.array(*[F.covar_pop(a, b) for a, b in names]).alias("cov"),
+        F.min(reduce(lambda x, y: x & y, [F.col(f).isNotNull() & ~F.isnan(f) for f in features])).alias("whole"),
+    )
+
+    def solve(frames):
+        for frame in frames:
+            out = {"_s": [], "means": [], "loadings": [], "ratios": []}
+            for r in frame.itertuples(index=False):
+                if r.n < 2 or not r.whole or not np.isfinite(r.cov).all():
+                    continue
+                m = np.zeros((len(features), len(features)))
+                for (a, b), v in zip(names, r.cov, strict=True):
+                    m[features.index(a), features.index(b)] = m[features.index(b), features.index(a)] = v
+                values, vectors = np.linalg.eigh(m)
+                values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
+                ratio = values / max(values.sum(), 1e-300)
+                k = min(int(np.searchsorted(np.cumsum(ratio), variance)) + 1, len(values))
+                top = vectors[:k] * np.sign(vectors[:k][np.arange(k), np.abs(vectors[:k]).argmax(axis=1)])[:, None]
+                for to, v in zip(out.values(), (r[0], list(r.means), [list(x) for x in top], list(ratio[:k])), strict=True):
+                    to.append(v)
+            if out["_s"]:
+                yield pd.DataFrame(out)
+
+    return g.select("_s", "n", "means", "cov", "whole").mapInPandas(solve, "_s string, means array<double>, loadings array<array<double>>, ratios array<double>")
 
 
 def pca_scores(panel: DataFrame, features: list[str], variance: float = 0.7) -> DataFrame:
-    """Variance-weighted sum of the first components that explain ``variance``, clipped and ranked in the sector.
-
-    A component's sign makes its largest loading positive. One call sees one sector's rows.
+    """Variance-weighted sum of the first components that explain ``variance``, clipped at its sector's 2nd and 98th percentile and ranked there."""
+    x = by_sector(panel, components(panel, features, variance))
+    centred = F.array(*[F.col(f) - F.col("means")[k] for k, f in enumerate(features)])
+    dot = lambda v: F.aggregate(F.zip_with(v, centred, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    x = x.withColumn("_pcs", F.transform("loadings", dot))
+    x = x.withColumn("_raw", F.when(F.col("_pcs").isNotNull(), F.aggregate(F.zip_with("_pcs", "ratios", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)))
+
+    def along(k: int) -> Column:
+        """What feature k has of the row's position along the components."""
+        return F.aggregate(F.zip_with("_pcs", "loadings", lambda a, v: a * v[k]), F.lit(0.0), lambda s, y: s + y)
+
+    back = {f"contrib_{f}": along(k) for k, f in enumerate(features)}
+    x = x.withColumns(back).drop("_pcs", "loadings", "ratios", "means")
+    j = _with_quantiles(x, ["_raw"], [0.02, 0.98])
+    j = j.withColumn("_raw", F.when(F.col("_raw").isNotNull(), F.least(F.greatest(F.col("_raw"), F.col("_raw_q")[0]), F.col("_raw_q")[1]))).drop("_raw_q")
+    out = percent_ranked(j, "_raw", "score").withColumn("score", F.when(F.col("_raw").isNotNull(), F.col("score")))
+    return out.select(*panel.columns, "score", *back)
+
+
+def logit_models(rows: DataFrame, features: list[str], label: str, folds: int, c: float = 1.0, steps: int = 25) -> DataFrame:
+    """_s, model and w: weights and intercept of balanced L2 logistic regressions per sector, by Newton's steps.
+
+    Model m < ``folds`` leaves out the rows of that fold, model ``folds`` none. A step is one aggregate of sums over rows; the systems of equations, one
+    per sector and model, are solved in Python. Models with one class have no row.
     """
+    d = len(features) + 1
+    x = rows.select(F.col("sector").alias("_s"), "_fold", F.col(label).cast("double").alias("y"), F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0)).alias("x"))
+    x = written(x, "logit").withColumn("model", F.explode(F.array_remove(F.array(*[F.lit(k) for k in range(folds + 1)]), F.col("_fold"))))
+    sizes = x.groupBy("_s", "model").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("pos")).where("pos > 0 and pos < n")
+    weights = sizes.withColumn("w", F.array(*[F.lit(0.0)] * d))
+    ridge, known = np.append(np.ones(d - 1) / c, 0.0), []
+
+    def step(frames):
+        for frame in frames:
+            solved = []
+            for r in frame.itertuples(index=False):
+                w, h, g = np.array(r.w), np.zeros((d, d)), np.array(r.g)
+                h[np.triu_indices(d)] = r.h
+                h = h + np.triu(h, 1).T
+                solved.append((w - np.linalg.solve(h + np.diag(ridge + 1e-9), g + ridge * w)).tolist())
+            yield frame[["_s", "model", "n", "pos"]].assign(w=solved)
 
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        x = g[features].to_numpy(float)
-        out = g.copy()
-        if len(g) < 2 or not np.isfinite(x).all():
-            return out.assign(score=np.nan, **{f"contrib_{f}": np.nan for f in features})
-        centred = x - x.mean(axis=0)
-        _, s, vt = np.linalg.svd(centred, full_matrices=False)
-        ratio = s**2 / max((s**2).sum(), 1e-300)
-        k = min(int(np.searchsorted(np.cumsum(ratio), variance)) + 1, len(s))
-        vt = vt[:k] * np.sign(vt[:k][np.arange(k), np.abs(vt[:k]).argmax(axis=1)])[:, None]
-        pcs = centred @ vt.T
-        composite = pd.Series((pcs * ratio[:k]).sum(axis=1))
-        clipped = composite.clip(composite.quantile(0.02), composite.quantile(0.98))
-        out["score"] = (100 * clipped.rank(pct=True)).to_numpy()
-        return out.assign(**dict(zip([f"contrib_{f}" for f in features], (pcs @ vt).T, strict=True)))
-
-    return panel.groupBy("sector").applyInPandas(score, _schema(panel, features))
-
-
-def _logit(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Weights and intercept of a balanced L2 logistic regression, by Newton steps."""
-    n, pos = len(y), y.sum()
-    weight = np.where(y == 1, n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1)))
-    a = np.column_stack([x, np.ones(n)])
-    w, ridge = np.zeros(a.shape[1]), np.append(np.ones(x.shape[1]) / c, 0.0)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9), a.T @ (weight * (p - y)) + ridge * w)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+        j = x.join(F.broadcast(weights.withColumnsRenamed({"_s": "s2", "model": "m2"})), F.col("_s").eqNullSafe(F.col("s2")) & (F.col("model") == F.col("m2")))
+        z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        j = j.withColumn("p", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).withColumn("v", F.when(F.col("y") == 1, F.col("n") / (2 * F.col("pos"))).otherwise(F.col("n") / (2 * (F.col("n") - F.col("pos")))))
+        hs = [F.sum(F.col("v") * F.col("p") * (1 - F.col("p")) * F.col("x")[a] * F.col("x")[b]) for a in range(d) for b in range(a, d)]
+        gs = [F.sum(F.col("v") * (F.col("p") - F.col("y")) * F.col("x")[a]) for a in range(d)]
+        sums = j.groupBy("_s", "model").agg(F.any_value("n").alias("n"), F.any_value("pos").alias("pos"), F.any_value("w").alias("w"), F.array(*hs).alias("h"), F.array(*gs).alias("g"))
+        # a few numbers per sector and model: they are fixed on the driver between steps, up to the bound of what is broadcast
+        found = sums.mapInPandas(step, "_s string, model int, n double, pos double, w array<double>").limit(BROADCAST_SECTORS * (folds + 1) + 1).collect()
+        if len(found) > BROADCAST_SECTORS * (folds + 1):
+            raise ValueError("too many sectors for supervised scores")
+        before = {(r["_s"], r.model): r.w for r in known}
+        known = found
+        weights = rows.sparkSession.createDataFrame(found, "_s string, model int, n double, pos double, w array<double>")
+        if all((k := (r["_s"], r.model)) in before and max(abs(a - b) for a, b in zip(r.w, before[k], strict=True)) < 1e-9 for r in found):
             break
-    return w
-
-
-def logit_scores(panel: DataFrame, features: list[str], label: str = "label", folds: int = 5, seed: int = 42) -> DataFrame:
-    """100 * (1 - probability of the label), out of fold where the sector has rows enough; null for sectors with one class."""
-
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["company", "date"])
-        x, y = g[features].to_numpy(float), g[label].to_numpy(float)
-        if not np.isfinite(x).all() or not np.isfinite(y).all() or len(np.unique(y)) < 2:
-            return g.assign(score=np.nan, **{f"contrib_{f}": np.nan for f in features})
-        sigmoid = lambda w, z: 1 / (1 + np.exp(-np.clip(np.column_stack([z, np.ones(len(z))]) @ w, -30, 30)))
-        w = _logit(x, y)
-        p = sigmoid(w, x)
-        if len(g) >= folds + 2:
-            rng, fold = np.random.default_rng(seed), np.zeros(len(g), int)
-            for value in (0, 1):
-                at = rng.permutation(np.flatnonzero(y == value))
-                fold[at] = np.arange(len(at)) % folds
-            for k in range(folds):
-                if 0 < y[fold != k].sum() < (fold != k).sum() and (fold == k).any():
-                    p[fold == k] = sigmoid(_logit(x[fold != k], y[fold != k]), x[fold == k])
-        return g.assign(score=100 * np.clip(1 - p, 0, 1), **dict(zip([f"contrib_{f}" for f in features], (x * w[:-1]).T, strict=True)))
-
-    return panel.groupBy("sector").applyInPandas(score, _schema(panel, features))
-
-
-def with_bootstrap(scored: DataFrame, n_boot: int = 200, seed: int = 42) -> DataFrame:
-    """health_se: the deviation of resampled scores at each position of the sector; plain deviation below five rows."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["company", "date"])
-        s = g["score"].to_numpy(float)
-        if len(s) < 5:
-            return g.assign(health_se=float(np.std(s, ddof=1)) if len(s) > 1 else 0.0)
-        rng = np.random.default_rng(seed)
-        # sums of draws are kept, not the draws: memory doesn't grow with n_boot
-        total, square = np.zeros(len(s)), np.zeros(len(s))
-        for _ in range(n_boot):
-            draw = s[rng.integers(0, len(s), len(s))] - s.mean()
-            total, square = total + draw, square + draw * draw
-        return g.assign(health_se=np.sqrt(np.maximum((square - total**2 / n_boot) / (n_boot - 1), 0)))
-
-    return scored.groupBy("sector").applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in scored.dtypes) + ", health_se double")
+    return weights.select("_s", "model", "w")
+
+
+def logit_scores(panel: DataFrame, features: list[str], label: str = "label", folds: int = 5, seed: int = 42, steps: int = 25) -> DataFrame:
+    """100 * (1 - probability of the label), out of fold where the sector has rows enough; null for sectors with one class or a missing value.
+
+    Folds are hashes of company and date, so they don't depend on the order of rows.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(f) for f in features], F.col(label).isNotNull())
+    facts = panel.groupBy(F.col("sector").alias("_s")).agg(F.min(whole).alias("_whole"), F.count(F.lit(1)).alias("_n"))
+    rows = by_sector(panel, facts).withColumn("_fold", F.when(F.col("_n") >= folds + 2, F.pmod(F.xxhash64(F.lit(seed), "company", "date"), F.lit(folds)).cast("int")).otherwise(F.lit(-1)))
+    models = logit_models(rows.where("_whole"), features, label, folds, steps=steps)
+    packed = models.groupBy("_s").agg(F.map_from_entries(F.collect_list(F.struct("model", "w"))).alias("_w"))
+    j = by_sector(rows, packed)
+    last = F.try_element_at("_w", F.lit(folds))
+    w = F.coalesce(F.try_element_at("_w", F.col("_fold")), last)
+    x = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
+    z = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    score = F.when(last.isNotNull(), 100 * (1 - 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))))
+    return j.select(*panel.columns, score.alias("score"), *[(F.col(f) * last[k]).alias(f"contrib_{f}") for k, f in enumerate(features)])
+
+
+def with_bootstrap(scored: DataFrame) -> DataFrame:
+    """health_se: what resampling a sector's scores gives as the deviation at each position, in expectation.
+
+    A draw with replacement has the sector's scores as its distribution, so that is their population deviation; below five rows the sample's, 0 for one row.
+    """
+    g = scored.groupBy(F.col("sector").alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("score").alias("_pop"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("_samp"))
+    return by_sector(scored, g).withColumn("health_se", F.when(F.col("_n") < 5, F.col("_samp")).otherwise(F.col("_pop"))).drop("_n", "_pop", "_samp")
+
+
+def model_info(panel: DataFrame, features: list[str], higher_is_better: dict[str, bool] | None = None, label: str | None = None, mode: str = "pca", variance: float = 0.7) -> DataFrame:
+    """How ``health_scores`` comes to its scores: sector, feature, median, iqr, multiplier, mode, rows, and the number and share of variance of the components used (null in other modes)."""
+    up = higher_is_better or dict.fromkeys(features, True)
+    out = winsorised(smoothed(imputed(panel, features), features), features)
+    signs = F.create_map(*[F.lit(v) for f in features for v in (f, 1.0 if up[f] else -1.0)])
+    kind = "supervised" if label is not None and not panel.where(F.col(label).isNotNull()).isEmpty() else mode
+    rows = panel.groupBy(F.col("sector").alias("_s")).agg(F.count(F.lit(1)).alias("rows"))
+    info = by_sector(scale_params(out, features), rows).withColumn("multiplier", signs[F.col("feature")]).withColumn("mode", F.lit(kind))
+    if kind != "pca":
+        return info.withColumn("components", F.lit(None).cast("int")).withColumn("explained", F.lit(None).cast("double"))
+    used = components(prepared(panel, features, up), features, variance)
+    used = used.select("_s", F.size("ratios").alias("components"), F.aggregate("ratios", F.lit(0.0), lambda s, v: s + v).alias("explained"))
+    return by_sector(info, used)
 
 
 def rescaled(scored: DataFrame) -> DataFrame:

@@ -103,6 +103,37 @@ def ohlc_volatility(bars: DataFrame, params: MetricParams = MetricParams()) -> D
     return g.select("ticker", *[v.alias(k) for k, v in out.items()])
 
 
+def cross_checked(bars: DataFrame, params: MetricParams = MetricParams()) -> DataFrame:
+    """cc_vol, parkinson_vol, gk_vol, rs_vol and yz_vol by another way than above: rows joined to the ones before them, variances from sums.
+
+    Bars are taken as they come, without a grid; see ``disagreements``.
+    """
+    logs = {c: F.ln(coerced(F.col(f))) for c, f in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"))}
+    rows = bars.select("ticker", F.row_number().over(R.by_time()).alias("k"), *[v.alias(c) for c, v in logs.items()])
+    before = rows.select("ticker", (F.col("k") + 1).alias("k"), F.col("c").alias("p"))
+    x = rows.join(before, ["ticker", "k"], "left").select("ticker", (F.col("c") - F.col("p")).alias("d"), (F.col("o") - F.col("p")).alias("n"), (F.col("c") - F.col("o")).alias("b"), (F.col("h") - F.col("l")).alias("w"), ((F.col("h") - F.col("c")) * (F.col("h") - F.col("o")) + (F.col("l") - F.col("c")) * (F.col("l") - F.col("o"))).alias("s"))
+    sums = [f(F.col(c)).alias(f"{c}{k}") for c in "dnb" for k, f in ((0, F.count), (1, F.sum), (2, lambda v: F.sum(v * v)))]
+    g = x.groupBy("ticker").agg(*sums, F.avg(F.col("w") * F.col("w")).alias("w2"), F.avg("s").alias("s1"))
+    var = lambda c: F.try_divide(F.col(f"{c}2") - F.try_divide(F.col(f"{c}1") * F.col(f"{c}1"), F.col(f"{c}0")), F.col(f"{c}0") - 1)
+    ln2 = F.ln(F.lit(2.0))
+    out = {
+        "cc_vol": var("d"),
+        "parkinson_vol": F.col("w2") / (4 * ln2),
+        "gk_vol": F.col("w2") / 2 - (2 * ln2 - 1) * F.try_divide(F.col("b2"), F.col("b0")),
+        "rs_vol": F.col("s1"),
+        "yz_vol": var("n") + YANG_ZHANG_K * var("b") + (1 - YANG_ZHANG_K) * F.col("s1"),
+    }
+    return g.select("ticker", *[F.when(v >= 0, F.sqrt(v * params.annual)).alias(k) for k, v in out.items()])
+
+
+def disagreements(bars: DataFrame, params: MetricParams = MetricParams(), tolerance: float = 1e-6) -> DataFrame:
+    """ticker, metric, value and check where a measure and its cross-check differ by more than the tolerance, or only one is there."""
+    names = ["cc_vol", "parkinson_vol", "gk_vol", "rs_vol", "yz_vol"]
+    long = lambda df, v: df.select("ticker", *names).unpivot("ticker", names, "metric", v)
+    j = long(ohlc_volatility(bars, params).join(annualized_volatility(bars, params), "ticker"), "value").join(long(cross_checked(bars, params), "check"), ["ticker", "metric"])
+    return j.where(~F.coalesce(F.abs(F.col("value") - F.col("check")) <= tolerance, F.col("value").isNull() & F.col("check").isNull()))
+
+
 def all_metrics(bars: DataFrame, params: MetricParams = MetricParams()) -> DataFrame:
     """Every built-in metric as a column; families are computed once each and joined by instrument."""
     out = annualized_volatility(bars, params)

@@ -70,6 +70,22 @@ def rank_by(name: str, bars: DataFrame, universe: DataFrame, params: MetricParam
     return m.join(u, "ticker", "left").select("rank", "company", "ticker", name).orderBy(F.desc_nulls_last(name), "ticker")
 
 
+def top_series(ranking: DataFrame, bars: DataFrame, k: int, name: str) -> DataFrame:
+    """The bars of the k instruments that rank highest, ties by ticker."""
+    top = ranking.where(F.col(name).isNotNull()).orderBy(F.desc(name), "ticker").limit(k).select("ticker")
+    return bars.join(F.broadcast(top), "ticker", "left_semi")
+
+
+def highlighted(ranking: DataFrame, tickers: list[str]) -> DataFrame:
+    """The ranking with a flag on the asked instruments, whatever the case and spaces they were written with."""
+    return ranking.withColumn("highlight", F.col("ticker").isin([t.strip().upper() for t in tickers]))
+
+
+def default_selection(ranking: DataFrame, name: str, k: int = 5) -> DataFrame:
+    """The tickers that are chosen where nothing was: the k highest."""
+    return ranking.where(F.col(name).isNotNull()).orderBy(F.desc(name), "ticker").limit(k).select("ticker")
+
+
 def metric_table(name: str, bars: DataFrame, universe: DataFrame, params: MetricParams = MetricParams(), titles: bool = True) -> DataFrame:
     """Universe rows with every built-in metric (and the asked one), highest first, under display names."""
     m = all_metrics(bars, params)

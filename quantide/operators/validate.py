@@ -39,6 +39,13 @@ def spacing_gaps(bars: DataFrame, interval: str) -> DataFrame:
     return rows.groupBy("ticker").agg((F.max("d") / 60).alias("widest")).where(F.col("widest") > most)
 
 
+def inferred_interval(bars: DataFrame) -> DataFrame:
+    """ticker, minutes (the commonest spacing of its bars, the shortest of equals) and share (of its spacings); instruments with one bar are left out."""
+    rows = bars.select("ticker", (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(by_time()))).alias("d")).where("d > 0")
+    g = rows.groupBy("ticker", "d").agg(F.count(F.lit(1)).alias("n")).groupBy("ticker").agg(F.max(F.struct("n", -F.col("d"))).alias("m"), F.sum("n").alias("of"))
+    return g.select("ticker", (-F.col("m")["col2"] / 60).alias("minutes"), (F.col("m.n") / F.col("of")).alias("share"))
+
+
 def period_gaps(bars: DataFrame, unit: str) -> DataFrame:
     """ticker, expected and rows where a weekly or monthly series lacks or doubles bars between its first and last."""
     step = F.expr("interval 1 week" if unit == "wk" else "interval 1 month")

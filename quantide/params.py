@@ -33,7 +33,7 @@ class ErrorCode(Enum):
     UNKNOWN = "unknown"
 
 
-#: keys whose values never leave in an error's context
+# Keys whose values never leave in an error's context or a table.
 SENSITIVE = re.compile("password|passwd|secret|token|api_?key|auth|credential", re.I)
 REDACTED = "***REDACTED***"
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantide.functions import text as T
@@ -74,13 +73,14 @@ query("grid_tail", f"WITH {I.SPARSE} SELECT ticker, count(*) AS n FROM bars WHER
 
 
 def _old_new(s, d):
+    """All events: those before 20 January as stored bars, and those from 10 January on, at twice the price, as new ones."""
     e = I.read(s, d, "events")
-    old = B.from_ticks(e.where("event_id % 2 = 0 and ts < timestamp_ntz'2024-01-20'"), B.day(), "user_id")
-    return old, B.from_ticks(e.where("event_id % 2 = 1 and ts >= timestamp_ntz'2024-01-10'"), B.day(), "user_id")
+    old = B.from_ticks(e.where("ts < timestamp_ntz'2024-01-20'"), B.day(), "user_id")
+    return old, B.from_ticks(e.where("ts >= timestamp_ntz'2024-01-10'").withColumn("value", 2 * F.col("value")), B.day(), "user_id")
 
 
-_OLD = I.SPARSE.replace("bars AS", "old AS").replace("value > 0", "value > 0 AND event_id % 2 = 0 AND ts < TIMESTAMP '2024-01-20'")
-_NEW = I.SPARSE.replace("bars AS", "new AS").replace("value > 0", "value > 0 AND event_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-10'")
+_OLD = I.SPARSE.replace("bars AS", "old AS").replace("value > 0", "value > 0 AND ts < TIMESTAMP '2024-01-20'")
+_NEW = I.SPARSE.replace("bars AS", "new AS").replace("FROM events", "FROM (SELECT * REPLACE (2 * value AS value) FROM events)").replace("value > 0", "value > 0 AND ts >= TIMESTAMP '2024-01-10'")
 _MERGED = f"WITH {_OLD}, {_NEW}, merged AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE (ticker, ts) NOT IN (SELECT (ticker, ts) FROM new))"
 query("merge_incremental", f"{_MERGED} SELECT ticker, {_stamp('ts')}, round(\"close\", 6) AS \"close\", volume FROM merged")(lambda s, d: ingest.merge_incremental(*_old_new(s, d)).select("ticker", "ts", "close", "volume"))
 query("manifest", f"WITH {I.SPARSE} SELECT ticker, '1d' AS interval, strftime(min(ts), '%Y-%m-%d') AS start, strftime(max(ts), '%Y-%m-%d') AS \"end\", count(*) AS rows, 'test' AS source, 2 AS version FROM bars GROUP BY ticker")(
@@ -168,12 +168,12 @@ def _history(s, d):
 
 
 def _wanted(s, d, extra):
-    rows = universe.clean(I.companies(s, d)).where("rank % 3 = 1").select(F.col("normalized_ticker").alias("ticker"), "company", F.col("rank").cast("long").alias("ord"))
+    rows = universe.clean(I.companies(s, d)).select(F.col("normalized_ticker").alias("ticker"), "company", F.col("rank").cast("long").alias("ord"))
     return rows.union(s.createDataFrame([("ZZZ", "Unknown", -1)], "ticker string, company string, ord long")) if extra else rows
 
 
-query("rank_align", f"WITH {I.COMPANIES} SELECT rank, company, ticker FROM clean WHERE rank % 3 = 1")(lambda s, d: universe.align(universe.clean(I.companies(s, d)), _wanted(s, d, False)))
-query("rank_align_fallback", f"WITH {I.COMPANIES} SELECT row_number() OVER (ORDER BY rank)::INT AS rank, company, ticker FROM (SELECT rank, company, ticker FROM clean WHERE rank % 3 = 1 UNION ALL SELECT -1, 'Unknown', 'ZZZ')")(
+query("rank_align", f"WITH {I.COMPANIES} SELECT rank, company, ticker FROM clean")(lambda s, d: universe.align(universe.clean(I.companies(s, d)), _wanted(s, d, False)))
+query("rank_align_fallback", f"WITH {I.COMPANIES} SELECT row_number() OVER (ORDER BY rank)::INT AS rank, company, ticker FROM (SELECT rank, company, ticker FROM clean UNION ALL SELECT -1, 'Unknown', 'ZZZ')")(
     lambda s, d: universe.align(universe.clean(I.companies(s, d)), _wanted(s, d, True))
 )
 query("ticker_set_diff", f"WITH {I.COMPANIES} SELECT ticker, 'added' AS change FROM clean WHERE rank > 10 AND rank <= 15 UNION ALL SELECT ticker, 'removed' FROM clean WHERE rank < 5")(
@@ -265,22 +265,23 @@ query("periods_per_year", "SELECT p_size, round(CASE p_partkey % 5 WHEN 0 THEN 9
     lambda s, d: I.read(s, d, "part").select("p_partkey", "p_size", T.periods_per_year(F.concat(F.col("p_size").cast("string"), F.expr("element_at(array('m', 'H', 'd', 'wk', 'mo'), cast(p_partkey % 5 + 1 as int))"))).alias("periods"))
 )
 query("display_titles", "SELECT DISTINCT event_type, upper(event_type[1]) || lower(event_type[2:]) || ' Share' AS title FROM events")(lambda s, d: I.read(s, d, "events").select("event_type").distinct().select("event_type", T.title_of(F.concat("event_type", F.lit("_share"))).alias("title")))
-query("redaction", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '***REDACTED***' ELSE 'x' || user_id END AS v FROM events WHERE event_id < 500")(
-    lambda s, d: I.read(s, d, "events").where("event_id < 500").select("event_id", F.map_values(T.redacted(F.create_map(F.when(F.col("event_id") % 2 == 0, F.lit("my_API_key")).otherwise(F.lit("user")), F.concat(F.lit("x"), F.col("user_id").cast("string")))))[0].alias("v"))
+query("redaction", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '***REDACTED***' ELSE 'x' || user_id END AS v FROM events")(
+    lambda s, d: I.read(s, d, "events").select("event_id", F.map_values(T.redacted(F.create_map(F.when(F.col("event_id") % 2 == 0, F.lit("my_API_key")).otherwise(F.lit("user")), F.concat(F.lit("x"), F.col("user_id").cast("string")))))[0].alias("v"))
 )
-query("error_counts", "SELECT event_type AS code, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: I.read(s, d, "events").groupBy(F.col("event_type").alias("code")).agg(F.count(F.lit(1)).alias("n")))
+query("error_counts", "SELECT event_type AS code, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: ingest.error_counts(I.read(s, d, "events").withColumn("code", F.col("event_type"))))
 query("price_projection", f"WITH {I.DENSE} SELECT ticker, {_stamp('ts')}, round(\"close\", 6) AS \"close\", volume FROM bars")(lambda s, d: readers.projected(I.dense(s, d), ["TICKER", "Ts", "Close", "VOLUME"]))
 query("date_only_check", f"WITH {I.SPARSE} SELECT DISTINCT ticker, FALSE AS has_time FROM bars")(lambda s, d: readers.has_time_parts(I.sparse(s, d)))
 query("discovered_tickers", "SELECT DISTINCT event_type AS ticker FROM events UNION SELECT DISTINCT r_name FROM region")(lambda s, d: readers.discovered_tickers(I.dense(s, d), [I.read(s, d, "region").select(F.col("r_name").alias("ticker")), I.dense(s, d)]))
-_TICKS = "SELECT user_id::VARCHAR AS ticker, epoch(date_trunc('second', ts))::BIGINT AS t, value, event_id FROM events WHERE user_id < 40"
+_TICKS = "SELECT user_id::VARCHAR AS ticker, epoch(date_trunc('second', ts))::BIGINT AS t, value, event_id FROM events"
 
 
 @query("json_decode_repair", f"""WITH x AS (SELECT ticker, t, value, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 2 END AS adj, CASE WHEN event_id % 2 = 0 THEN NULL ELSE value END AS cl, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS vol FROM ({_TICKS})), y AS (SELECT *, coalesce(adj, cl) AS px FROM x)
 SELECT ticker, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS ts, round(px, 6) AS open, round(px, 6) AS high, round(value, 6) AS low, round(coalesce(cl, px), 6) AS "close", round(px, 6) AS adj_close, coalesce(vol, 0) AS volume FROM y WHERE px IS NOT NULL""")
 def _decode(s, d):
-    x = I.read(s, d, "events").where("user_id < 40").select(F.col("user_id").cast("string").alias("ticker"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value", "event_id")
+    x = I.read(s, d, "events").select(F.col("user_id").cast("string").alias("ticker"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value", "event_id")
     row = F.sort_array(F.collect_list(F.struct("t", "event_id", "value")))
-    g = x.groupBy("ticker").agg(row.alias("r"))
+    # a payload holds an instrument's day
+    g = x.groupBy("ticker", F.floor(F.col("t") / 86400).alias("day")).agg(row.alias("r"))
     pick = lambda e: F.expr(f"transform(r, x -> {e})")
     quote = F.array(F.struct(pick("x.value").alias("low"), pick("if(x.event_id % 2 = 0, null, x.value)").alias("close"), pick("if(x.event_id % 5 = 0, null, x.event_id)").alias("volume")))
     adj = F.array(F.struct(pick("if(x.event_id % 3 = 0, null, x.value / 2)").alias("adjclose")))
@@ -298,11 +299,15 @@ def _split(s, d):
     return readers.split_bars(g.select(payload.alias("payload")), "click").select("ticker", "ts", "close")
 
 
-@query("wide_to_long", f"WITH {I.DENSE} SELECT ticker, {_stamp('ts')}, round(\"close\", 6) AS \"close\", round(open, 6) AS open FROM bars WHERE ticker IN ('click', 'view')")
+@query("wide_to_long", f"WITH {I.DENSE} SELECT ticker, {_stamp('ts')}, round(\"close\", 6) AS \"close\", round(open, 6) AS open FROM bars")
 def _wide(s, d):
-    wide = I.dense(s, d).where("ticker in ('click', 'view')").groupBy("ts").pivot("ticker", ["click", "view"]).agg(F.first("open").alias("Open"), F.first("close").alias("Close"))
-    return readers.wide_to_long(wide.toDF("ts", "Open|click", "Close|click", "view|Open", "view|Close"))
+    bars = I.dense(s, d)
+    # the instruments are the matrix' columns
+    names = [r.ticker for r in bars.select("ticker").distinct().orderBy("ticker").collect()]
+    wide = bars.groupBy("ts").pivot("ticker", names).agg(F.first("open").alias("Open"), F.first("close").alias("Close"))
+    return readers.wide_to_long(wide.toDF("ts", *[c for t in names for c in (f"Open|{t}", f"{t}|Close")]))
 
 
+query("date_time_check", f"WITH {I.HOURLY} SELECT ticker, bool_or(hour(ts) <> 0) AS has_time FROM bars GROUP BY ticker")(lambda s, d: readers.has_time_parts(B.from_ticks(I.read(s, d, "events"), B.minutes(60), "event_type")))
 query("content_digest", None)(lambda s, d: sinks.content_digest(I.dense(s, d)))
-query("last_event_by_window", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")(lambda s, d: I.read(s, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).where("k = 1").select("user_id", "event_id"))
+query("last_event_by_window", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")(lambda s, d: sanitize.latest_rows(I.read(s, d, "events"), ["user_id"], [F.desc("event_id")]).select("user_id", "event_id"))

@@ -63,7 +63,7 @@ FEATURES = ["n_orders", "revenue", "largest", "balance"]
 def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     ts = F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60)
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("T"), (F.col("conv_id") % 40).cast("string")).alias("ticker"), F.substring("text", 1, 40).alias("note"), ts.alias("updated_at"), "role")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("T"), (F.col("conv_id") % 40).cast("string")).alias("ticker"), F.col("text").alias("note"), ts.alias("updated_at"), "role")
 
 
 def _bars_sql(key: str, unit: str = "day") -> str:
@@ -110,5 +110,5 @@ PANEL = """panel AS (
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 )"""
 LOG = """log AS (
-  SELECT conv_id * 100 + turn AS id, 'T' || (conv_id % 40) AS ticker, substr(text, 1, 40) AS note, 1700000000 + turn * 60 AS tm, role FROM conversations
+  SELECT conv_id * 100 + turn AS id, 'T' || (conv_id % 40) AS ticker, text AS note, 1700000000 + turn * 60 AS tm, role FROM conversations
 )"""

@@ -58,7 +58,7 @@ SELECT sector, feature, round(median(v), 6) AS median, round(CASE WHEN quantile_
     lambda s, d: kpi.scale_params(kpi.winsorised(kpi.smoothed(kpi.imputed(I.panel(s, d), FS), FS), FS), FS)
 )
 _PCT = "round(100.0 * (rank() OVER (PARTITION BY sector ORDER BY revenue) + (count(*) OVER (PARTITION BY sector, revenue) - 1) / 2.0) / count(*) OVER (PARTITION BY sector), 6)"
-query("kpi_percent_rank", f"WITH {I.PANEL} SELECT company, strftime(date, '%Y-%m-%d') AS date, sector, {_PCT} AS score FROM panel")(lambda s, d: I.panel(s, d).select("company", "date", "sector", kpi.percent_rank("revenue").alias("score")))
+query("kpi_percent_rank", f"WITH {I.PANEL} SELECT company, strftime(date, '%Y-%m-%d') AS date, sector, {_PCT} AS score FROM panel")(lambda s, d: kpi.percent_ranked(I.panel(s, d), "revenue", "score").select("company", "date", "sector", "score"))
 query("kpi_rank_fallback", f"WITH {I.PANEL} SELECT company, strftime(date, '%Y-%m-%d') AS date, sector, round(100.0 * (count(*) {_W} + 1) / (2.0 * count(*) {_W}), 6) AS score FROM panel")(
     lambda s, d: kpi.fallback_scores(_ready(s, d), FS).select("company", "date", "sector", "score")
 )
@@ -68,7 +68,13 @@ SELECT company, strftime(date, '%Y-%m-%d') AS date, round((least(greatest(revenu
 )
 query("kpi_pca")(lambda s, d: kpi.health_scores(I.panel(s, d), FS, UP))
 query("kpi_logit")(lambda s, d: kpi.logit_scores(_ready(s, d).join(I.panel(s, d).select("company", "date", (F.col("revenue") < 150000).cast("int").alias("label")), ["company", "date"]), FS).select("company", "date", "sector", "score"))
-query("kpi_bootstrap")(lambda s, d: kpi.with_bootstrap(_ready(s, d).select("company", "date", "sector", F.col("revenue").alias("score"))))
+query("kpi_bootstrap", f"WITH {_ALI} SELECT company, strftime(date, '%Y-%m-%d') AS date, sector, round(revenue, 6) AS score, round(CASE WHEN count(*) {_W} < 5 THEN coalesce(stddev_samp(revenue) {_W}, 0) ELSE stddev_pop(revenue) {_W} END, 6) AS health_se FROM ali")(lambda s, d: kpi.with_bootstrap(_ready(s, d).select("company", "date", "sector", F.col("revenue").alias("score"))))
+
+query("kpi_model_info", f"""WITH {_WIN}, u AS (UNPIVOT (SELECT sector, {', '.join(FS)} FROM win) ON {', '.join(FS)} INTO NAME feature VALUE v)
+SELECT sector, feature, round(median(v), 6) AS median, round(CASE WHEN quantile_cont(v, 0.75) - quantile_cont(v, 0.25) = 0 THEN 1 ELSE quantile_cont(v, 0.75) - quantile_cont(v, 0.25) END, 6) AS iqr,
+       count(*) AS rows, CASE WHEN feature = 'largest' THEN -1.0 ELSE 1.0 END AS multiplier, 'equal' AS mode FROM u GROUP BY ALL""")(
+    lambda s, d: kpi.model_info(I.panel(s, d), FS, UP, mode="equal").drop("components", "explained")
+)
 
 
 @query("stream_bars", f"WITH {I.DENSE} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(\"close\", 6) AS \"close\", volume FROM bars")

@@ -36,7 +36,9 @@ class BarStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if fs.exists(path) else self.spark.createDataFrame([], schema)
 
     def manifests(self) -> DataFrame:
-        return self._read("manifest", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in MANIFEST))
+        """The last entry of each instrument and interval."""
+        rows = self._read("manifest", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in MANIFEST))
+        return latest_rows(rows, ["ticker", "interval"], [F.desc("updated_at")])
 
     def bars(self, interval: str, tickers: list[str] | None = None) -> DataFrame:
         """Stored bars; instruments whose manifest is missing or outdated count as not stored."""
@@ -54,9 +56,12 @@ class BarStore:
             raise CacheError("no stored bars", ticker=ticker, interval=interval)
         return rows.orderBy("ts")
 
+    def stored_tickers(self, interval: str) -> DataFrame:
+        return self._read("bars", "interval string, ticker string").where(F.col("interval") == interval).select("ticker").distinct()
+
     def tickers(self, interval: str) -> list[str]:
-        rows = self._read("bars", "interval string, ticker string").where(F.col("interval") == interval)
-        return [r.ticker for r in rows.select("ticker").distinct().orderBy("ticker").collect()]
+        """As a list, for a universe that fits on the driver; ``stored_tickers`` has no bound."""
+        return [r.ticker for r in self.stored_tickers(interval).orderBy("ticker").collect()]
 
 
 def legacy_csv(spark: SparkSession, path: str) -> DataFrame:

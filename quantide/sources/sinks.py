@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantide.functions.text import escape_formulas
-from quantide.operators.ingest import manifest, merge_incremental
-from quantide.operators.validate import violations
+from quantide.operators.ingest import manifest
+from quantide.operators.validate import gaps, violations
 from quantide.params import ValidationError
 from quantide.schema import BARS
 from quantide.sources.readers import BarStore, has_time_parts, legacy_csv
@@ -19,23 +19,30 @@ from quantide.sources.readers import BarStore, has_time_parts, legacy_csv
 EXPORT_ROWS = 1_000_000
 
 
-def save_bars(store: BarStore, bars: DataFrame, interval: str, source: str, validate: bool = True) -> None:
-    """Replace the stored bars of the instruments present; other partitions stay. An empty frame is refused."""
+def save_bars(store: BarStore, bars: DataFrame, interval: str, source: str, validate: bool = True, sessions: DataFrame | None = None, allowed_gaps: DataFrame | None = None) -> None:
+    """Replace the stored bars of the instruments present; other partitions stay. An empty frame is refused.
+
+    All checks come before anything is written; with ``sessions`` given, gaps other than the allowed ones are refused too. Each
+    partition is replaced when the job commits. Manifest entries are appended after that and the last one counts, so a save that fails in between leaves no entry for what isn't there.
+    """
     if bars.isEmpty():
         raise ValidationError("no bars to store", interval=interval)
     entries = manifest(bars, interval, source)
     if validate and not (bad := violations(bars, entries)).isEmpty():
         raise ValidationError("bars break rules", found=[tuple(r) for r in bad.limit(20).collect()])
+    if validate and sessions is not None and not (bad := gaps(bars, sessions, interval, allowed_gaps)).isEmpty():
+        raise ValidationError("bars have gaps", found=[tuple(r) for r in bad.limit(20).collect()])
     rows = bars.select(*[(F.col(f.name) if f.name in bars.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in BARS]).withColumn("interval", F.lit(interval))
     rows.repartition("ticker").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "ticker").parquet(f"{store.root}/bars")
-    known = merge_incremental(store.manifests(), entries, ("ticker", "interval"))
-    # the manifest is small; it is read before its folder is replaced
-    fixed = store.spark.createDataFrame(known.collect(), known.schema)
-    fixed.coalesce(1).write.mode("overwrite").parquet(f"{store.root}/manifest")
+    entries.write.mode("append").parquet(f"{store.root}/manifest")
 
 
-def save_csv(df: DataFrame, path: str, escape: bool = False) -> None:
-    (escape_formulas(df) if escape else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def save_csv(df: DataFrame, path: str, escape: bool = False, one_file: bool = False) -> None:
+    """CSV parts with headers; one file only where it is asked for and the rows are few (``EXPORT_ROWS``)."""
+    if one_file and df.limit(EXPORT_ROWS + 1).count() > EXPORT_ROWS:
+        raise ValidationError("too many rows for one file", most=EXPORT_ROWS)
+    out = escape_formulas(df) if escape else df
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_sqlite(df: DataFrame, path: str, table: str = "volatility") -> int:

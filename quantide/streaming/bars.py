@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from quantide.functions.shared import shared_folder
 from quantide.operators.ingest import merge_incremental
-from quantide.params import ConfigurationError
+from quantide.operators.sanitize import latest_rows
 from quantide.sources.readers import BarStore
 from quantide.sources.sinks import save_bars
 
 
 def state_folder(spark: SparkSession, name: str) -> str:
     """A folder for a stream's state below ``spark.checkpoint.dir``; a session in local mode without one gets its own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='quantide-')).rstrip('/')}/streams/{name}"
+    return shared_folder(spark, f"streams/{name}")
 
 
 def tick_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,13 +41,13 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "com
     return stream.sparkSession.table(name)
 
 
-def upsert_stream(bars: DataFrame, store: BarStore, interval: str, checkpoint: str, source: str = "stream", period: str | None = None) -> StreamingQuery:
-    """Merge each micro-batch over the store (needs a checkpoint folder for the session): newer rows of a stamp win. ``period`` keeps it running; without it, it ends when caught up."""
+def upsert_stream(bars: DataFrame, store: BarStore, interval: str, checkpoint: str, source: str = "stream", period: str | None = None, arrival: str | None = None) -> StreamingQuery:
+    """Merge each micro-batch over the store (needs a checkpoint folder for the session): newer rows of a stamp win; inside a batch the one with the highest ``arrival``, if that column is named. ``period`` keeps it running; without it, it ends when caught up."""
 
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        rows = batch.dropDuplicates(["ticker", "ts"])
+        rows = latest_rows(batch, ["ticker", "ts"], [F.desc(arrival)]).drop(arrival) if arrival else batch.dropDuplicates(["ticker", "ts"])
         touched = rows.select("ticker").distinct()
         merged = merge_incremental(store.bars(interval).join(touched, "ticker", "left_semi"), rows)
         # the store is read and replaced in one batch, so the merged rows are fixed first

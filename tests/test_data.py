@@ -191,3 +191,70 @@ def test_stream_upsert(spark, tmp_path):
     bars(spark, [("A", "2024-01-02", 9), ("B", "2024-01-02", 3)]).coalesce(1).write.mode("append").parquet(str(src))
     S.upsert_stream(spark.readStream.schema(schema).parquet(str(src)), store, "1d", str(tmp_path / "q")).awaitTermination()
     assert [(r.ticker, r.close) for r in store.bars("1d").orderBy("ticker", "ts").collect()] == [("A", 1.0), ("A", 9.0), ("B", 3.0)]
+
+
+def _panel_rows(spark, n=60):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(f"c{k}", "2024-01-01", "ab"[k % 2], *(float(v) for v in rng.standard_normal(3) * (3, 1, 0.5)), int(k % 3 == 0)) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "company string, date string, sector string, x double, y double, z double, label int")
+
+
+def test_components_against_numpy(spark):
+    """Scores of each sector against a decomposition of its rows."""
+    import numpy as np
+    import pandas as pd
+
+    from quantide.operators import kpi
+
+    rows, panel = _panel_rows(spark)
+    got = {r.company: r for r in kpi.pca_scores(panel, ["x", "y", "z"]).collect()}
+    for sector in "ab":
+        own = [r for r in rows if r[2] == sector]
+        m = np.array([r[3:6] for r in own])
+        c = m - m.mean(axis=0)
+        _, s, vt = np.linalg.svd(c, full_matrices=False)
+        ratio = s**2 / (s**2).sum()
+        k = int(np.searchsorted(np.cumsum(ratio), 0.7)) + 1
+        vt = vt[:k] * np.sign(vt[:k][np.arange(k), np.abs(vt[:k]).argmax(axis=1)])[:, None]
+        raw = pd.Series(((c @ vt.T) * ratio[:k]).sum(axis=1))
+        want = 100 * raw.clip(raw.quantile(0.02), raw.quantile(0.98)).rank(pct=True)
+        back = (c @ vt.T) @ vt
+        for r, score, contribution in zip(own, want, back, strict=True):
+            assert abs(got[r[0]].score - score) < 1e-6 and abs(got[r[0]].contrib_x - contribution[0]) < 1e-9
+    short = kpi.pca_scores(panel.where("company = 'c0'"), ["x", "y", "z"]).first()
+    assert short.score is None
+
+
+def test_logistic_models_against_plain_newton(spark):
+    import numpy as np
+
+    from quantide.operators import kpi
+
+    rows, panel = _panel_rows(spark)
+    fold = F.pmod(F.xxhash64("company"), F.lit(5)).cast("int")
+    got = {(r["_s"], r.model): r.w for r in kpi.logit_models(panel.withColumn("_fold", fold), ["x", "y", "z"], "label", 5).collect()}
+    folds = {r.company: r["_fold"] for r in panel.select("company", fold.alias("_fold")).collect()}
+    assert set(got) == {(s, m) for s in "ab" for m in range(6)}
+    for (sector, model), w in got.items():
+        own = [r for r in rows if r[2] == sector and folds[r[0]] != model]
+        a, y = np.array([[*r[3:6], 1.0] for r in own]), np.array([r[6] for r in own])
+        weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        p = 1 / (1 + np.exp(-a @ np.array(w)))
+        # at the optimum the penalised gradient is zero
+        gradient = a.T @ (weight * (p - y)) + np.array([1, 1, 1, 0]) * np.array(w)
+        assert np.abs(gradient).max() < 1e-6
+
+
+def test_percent_ranks_by_blocks(spark):
+    from quantide.operators import kpi
+
+    rows = [(f"c{k}", "ab"[k % 7 == 0], float(k * k % 37) if k % 11 else None) for k in range(400)]
+    panel = spark.createDataFrame(rows, "company string, sector string, v double")
+    got = {r.company: r.p for r in kpi.percent_ranked(panel, "v", "p").collect()}
+    for company, sector, v in rows:
+        own = [x if x is not None else -1.0 for _, s, x in rows if s == sector]
+        value = -1.0 if v is None else v
+        below, same = sum(x < value for x in own), sum(x == value for x in own)
+        assert abs(got[company] - 100 * (below + (same + 1) / 2) / len(own)) < 1e-9
