@@ -278,15 +278,15 @@ def _shared_weights(texts: DataFrame) -> DataFrame:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             for at, some in _chunks(batch.column(1).to_pylist()):
                 doc, shingle, count = bags(some)
-                weight = np.bincount(doc, count, minlength=len(some)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at + doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32)), pa.array(weight[doc])], names=["node", "shingle", "n", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at + doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32))], names=["node", "shingle", "n"])
 
-    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, n int, weight long")
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long, n int")
     held = rows.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
-    parts = rows.join(held, "shingle").groupBy("node", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.sum("n").cast("int").alias("n"), F.max("weight").alias("weight"))
-    shared = parts.groupBy("node").agg(F.max("weight").alias("weight"), F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
+    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    parts = rows.join(held, "shingle").groupBy("node", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.sum("n").cast("int").alias("n"))
+    shared = parts.groupBy("node").agg(F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"))
     each = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
-    return shared.select("node", "weight", "shared", each.alias("parts"))
+    return weight.join(shared, "node").select("node", "weight", "shared", each.alias("parts"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -364,10 +364,12 @@ def _representatives(sketched: DataFrame) -> DataFrame:
     reps = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     reps = stored(reps, "reps")
     twice = stored(reps.where("rep is not null").groupBy("rep").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", "first"), "twice")
-    named = left_join_small(reps, twice, ["rep"])
     hashed = F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(1 << 62)
+    if twice.isEmpty():
+        return reps.select("digest", "rep", F.coalesce("rep", hashed).alias("node"), "bands", "sig")
+    named = left_join_small(reps, twice, ["rep"])
     own = F.col("rep").isNotNull() & F.coalesce(F.col("first") == F.col("digest"), F.lit(True))
-    return named.select("digest", "rep", F.when(own, F.col("rep")).otherwise(hashed).alias("node"), "bands", "sig")
+    return stored(named.select("digest", "rep", F.when(own, F.col("rep")).otherwise(hashed).alias("node"), "bands", "sig"), "reps")
 
 
 def _cuts(df: DataFrame) -> DataFrame:
@@ -399,17 +401,20 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _pivots(members: DataFrame, most: int) -> DataFrame:
-    """The first members of each bucket by place, first in each cut, then of those."""
-    for by in (["bucket", "cut"], ["bucket"]):
+    """The first members of each bucket by place; in buckets that are cut, first of each cut, then of those."""
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("place", "node")
-        members = members.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
-    return stored(members.select("bucket", "cuts", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared", "parts")]), "pivots")
+        return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
+
+    found = first(members.where("cuts = 1").unionByName(first(members.where("cuts > 1"), "bucket", "cut")), "bucket")
+    return stored(found.select("bucket", "cuts", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared", "parts")]), "pivots")
 
 
 def _classified(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """id, digest and comp (its class) of each row, and whether it is what the class keeps (or equal to that in id and text)."""
     sketched = stored(_sketched(docs, key, text), "sketches")
-    reps = stored(_representatives(sketched), "reps")
+    reps = _representatives(sketched)
     members = _members(reps.select("node", F.explode("bands").alias("bucket")))
     nodes = stored(reps.select("node", "digest", "rep").join(members.select("node").distinct(), "node"), "nodes")
     texts = _texts(docs, nodes, key, text)
