@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantide.llm import bpe, html_text, licenses, mixing, near_dedup, quality, secrets, token_counts, topk, warc
+from quantide.llm import bpe, centroids, divergence, html_text, licenses, mixing, near_dedup, quality, secrets, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_centroid_clustering": centroids.op12_centroid_clustering,
     }
 
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict:
         "op2_poisson_mix": mixing.ORACLE,
         "op6_exact_top_k": topk.ORACLE,
         "op10_quality_rules": quality.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op12_centroid_clustering": centroids.ORACLE,
     }
