@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantide.llm import bpe, centroids, divergence, html_text, licenses, mixing, near_dedup, quality, secrets, token_counts, topk, warc
+from quantide.llm import bpe, centroids, divergence, html_text, licenses, mixing, near_dedup, packing, quality, secrets, token_counts, topk, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_source_divergence": divergence.op11_source_divergence,
         "op12_centroid_clustering": centroids.op12_centroid_clustering,
+        "op13_best_fit_packing": packing.op13_best_fit_packing,
     }
 
 
