@@ -71,7 +71,8 @@ def left_join_small(left: DataFrame, small: DataFrame, keys: list[str], limit: i
 
     The right side is counted (up to the limit). Within it, it is broadcast; its rows are to be short. Beyond
     it, the left side is dealt over salts, so that a key with a third of all rows is spread, and the right side is
-    repeated once per salt. Other columns of the right side must not be named as columns of the left one.
+    repeated once per salt. A salt is made of the row and of the number of its partition, so equal rows of many partitions are spread too,
+    and a row that is computed again gets the same one. Other columns of the right side must not be named as columns of the left one.
     """
     taken = [*left.columns, *small.columns]
     theirs = {k: fresh(f"_r_{k}", taken) for k in keys}
@@ -80,7 +81,8 @@ def left_join_small(left: DataFrame, small: DataFrame, keys: list[str], limit: i
     if len(small.limit(limit + 1).select(F.lit(1)).collect()) <= limit:
         return left.join(F.broadcast(right), on, "left").drop(*theirs.values())
     ours, other = fresh("_salt", taken), fresh("_salt_r", taken)
-    left = left.withColumn(ours, F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t and t != "variant"], F.spark_partition_id())
+    left = left.withColumn(ours, F.pmod(hashed, F.lit(salts)).cast("int"))
     right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = [left[k].eqNullSafe(right[theirs[k]]) for k in keys] + [left[ours] == right[other]]
     return left.join(right, on, "left").drop(ours, other, *theirs.values())

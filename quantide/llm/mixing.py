@@ -3,8 +3,8 @@
 Source s should make up the share w_s of the mixture, so each of its n_s documents
 is wanted total * w_s / n_s times on average. Each document's count is drawn from
 the Poisson distribution with that mean by inverting it at a uniform number hashed
-from a seed and the document's id: the same input gives the same mixture on any
-cluster, and documents are judged on their own. Documents are then exploded by
+from a seed, the document's id and its text: the same input gives the same mixture on any
+cluster, documents are judged on their own, and different texts without an id, or with the same one, are drawn apart. Documents are then exploded by
 their counts and put in a global random order, again by hash.
 
 Sizes are counted per source before anything is shuffled. The cumulative distributions,
@@ -14,8 +14,8 @@ terms as lie within twelve standard deviations of the rate; they are written onc
 read twice: to count, and to draw. MD5 is uniform, so the global order is cut into
 even ranges of its leading digits, without a sample of the rows to be sorted, and no source is hot.
 
-Defined results: null sources are a source of their own; rows with equal ids are
-drawn alike; a null id is hashed as the empty string; a source with target 0 goes;
+Defined results: null sources are a source of their own; rows with equal id and text are
+drawn alike; a null id or text is hashed as the empty string; a source with target 0 goes;
 targets of sources that aren't there are ignored and the others rescaled; an empty
 table gives an empty result; all columns are kept.
 """
@@ -60,7 +60,7 @@ def rates(docs: DataFrame, targets: dict[str | None, float] | None = None, tempe
 
 
 def _log_factorial(k: Column) -> Column:
-    """ln k!, by Stirling's series where k! is no 64-bit number; its error is below 1e-15."""
+    """ln k!, by Stirling's series where k! is no 64-bit number; its relative error is that of doubles."""
     x = F.greatest(k, F.lit(1)).cast("double")
     series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
     return F.when(k <= 20, F.ln(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
@@ -79,21 +79,25 @@ def with_distribution(sources: DataFrame) -> DataFrame:
     return rows.select("source", "rate", F.col("rows")[0]["k"].cast("int").alias("first"), F.col("rows.p").alias("cdf"))
 
 
-def replicate(docs: DataFrame, key: str = "doc_id", source: str = "source", targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, seed: int = SEED, copy: str | None = "copy") -> DataFrame:
+def replicate(docs: DataFrame, key: str = "doc_id", source: str = "source", targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0, seed: int = SEED, copy: str | None = "copy", text: str = "text") -> DataFrame:
     """The mixture, shuffled: all columns of the documents, and the copy's number from 0 if a name is given for it.
 
-    Partitions are in order and sorted; there are as many as ``spark.sql.shuffle.partitions``.
+    A table without the column ``text`` is drawn by its key alone. Partitions are in order and sorted; there are as many as ``spark.sql.shuffle.partitions``.
     """
     spark = docs.sparkSession
-    first, cdf, n, number, order, part = (fresh(f"_mix_{x}", docs.columns) for x in ("first", "cdf", "n", "copy", "order", "part"))
+    first, cdf, n, number, order, part, own, u = (fresh(f"_mix_{x}", docs.columns) for x in ("first", "cdf", "n", "copy", "order", "part", "own", "u"))
     dist = stored(with_distribution(rates(docs, targets, temperature, size, source)), "mixture")
     terms = dist.agg(F.sum(F.size("cdf"))).first()[0] or 0
     small = dist.select(F.col("source").alias(source), F.col("first").alias(first), F.col("cdf").alias(cdf))
-    j = left_join_small(docs, small, [source], BROADCAST_ROWS if 8 * terms <= BROADCAST_BYTES else 0)
-    u = uniform(F.lit(f"count{seed}"), F.col(key))
-    count = F.col(first) + F.size(F.filter(cdf, lambda p: p <= u))
+    # made before the join, so that nothing of it is moved past it
+    empty = F.lit("")
+    one = [F.coalesce(F.col(f"`{key}`").cast("string"), empty), *([F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), empty))] if text in docs.columns else [])]
+    drawn = docs.withColumn(own, F.concat_ws("|", *one))
+    drawn = drawn.withColumn(u, uniform(F.lit(f"count{seed}"), F.col(own)))
+    j = left_join_small(drawn, small, [source], BROADCAST_ROWS if 8 * terms <= BROADCAST_BYTES else 0)
+    count = F.col(first) + F.size(F.filter(cdf, lambda p: p <= F.col(u)))
     out = j.withColumn(n, count).where(F.col(n) > 0).withColumn(number, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    out = out.withColumn(order, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(number))))
+    out = out.withColumn(order, F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(own), F.col(number))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leading = F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
     out = out.withColumn(part, F.shiftright(leading * parts, 32).cast("int")).repartitionById(parts, part).sortWithinPartitions(order)
@@ -110,7 +114,7 @@ r AS (SELECT source, round(sum(n) OVER () * (weight / sum(weight) OVER ()) / n,
 k AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT)) AS k FROM r),
 f AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM k),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
-u AS (SELECT *, ('0x' || substr(md5('count{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+u AS (SELECT *, ('0x' || substr(md5('count{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 d AS (SELECT doc_id, text, lang, u.source, n_chars, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS copies FROM u)
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(0, copies - 1))::INT AS copy FROM d WHERE copies > 0
 """
