@@ -161,7 +161,8 @@ def _distances(key: tuple, rows: pa.Table) -> pa.Table:
     """Summed distances of the sources of two blocks, over the terms of a chunk that one of them has."""
     lang, _, one, two = (x.as_py() for x in key)
     frame = rows.to_pandas()
-    sources = frame.drop_duplicates("place")[["place", "block", "floor"]].sort_values("place")
+    sources = frame[frame["term"] == ""].sort_values("place")
+    frame = frame[frame["term"] != ""]
     terms, t = np.unique(frame["term"].to_numpy(), return_inverse=True)
     place = sources["place"].to_numpy()
     shares = np.repeat(sources["floor"].to_numpy()[:, None], len(terms), axis=1)
@@ -187,10 +188,14 @@ def pair_distances(kept: DataFrame, sources: DataFrame) -> DataFrame:
     placed = sources.withColumn("block", F.expr(f"place div {BLOCK}").cast("int"))
     last = sources.groupBy("lang").agg(F.expr(f"max(place) div {BLOCK}").cast("int").alias("last"))
     rows = left_join_small(kept.select("lang", "source", "term", "p"), placed.join(last, "lang"), ["lang", "source"])
-    chunk = F.pmod(F.xxhash64("term"), F.greatest(F.expr(f"terms div {CHUNK}"), F.lit(1)))
+    chunks = F.greatest(F.expr(f"terms div {CHUNK}"), F.lit(1))
+    columns = ["lang", "term", "p", "place", "block", "last", "floor", "chunk"]
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("term"), chunks)).select(columns)
+    # every source has a row without a term in each chunk, as one that lacks all terms of a chunk still has distances there
+    bare = placed.join(last, "lang").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("term", F.lit("")).withColumn("p", F.col("floor")).select(columns)
     # a block meets every block of its language: once if there is only one
     meets = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least("block", o).alias("one"), F.greatest("block", o).alias("two")))
-    rows = rows.select("lang", "term", "p", "place", "block", "floor", chunk.alias("chunk"), F.explode(meets).alias("m")).select("*", "m.one", "m.two").drop("m")
+    rows = rows.unionByName(bare).withColumn("m", F.explode(meets)).select("*", "m.one", "m.two").drop("m", "last")
     part = rows.groupBy("lang", "chunk", "one", "two").applyInArrow(_distances, "lang string, a int, b int, value long, seen long")
     sums = part.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     one = sources.select("lang", F.col("source").alias("s"), F.col("place").alias("a"), F.col("floor").alias("floor_a"), "terms")
