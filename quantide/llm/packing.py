@@ -8,13 +8,15 @@ length, whatever the number of documents:
   length with as few configurations as possible.
 * It is solved by multiplicative weights: a length's weight falls exponentially with the share of its count that is already
   covered. A knapsack dynamic program prices configurations: its table gives the heaviest one, and for each
-  length the heaviest one that holds it. All within ``SLACK`` of the heaviest are used at once, for a step in which
+  length the heaviest one that holds it. All within ``SLACK`` of the heaviest are used at once, by amounts at which
   no length gains more than ``STEP`` of its count. Covered lengths drop out. The weights of any round also prove a lower bound.
-* Fractional counts are rounded along the configurations in order, carrying the remainder, as far as pieces are left. Configurations
+* Fractional counts are rounded along the configurations in order, carrying the remainder, as far as pieces are left, to lots
+  that make some ``RUNS`` runs. Configurations
   that leave much more room than the bound demands are not used at first: their pieces stay for the next program, over what is
   left, which allows more. The last ``REMAINDER`` pieces, whatever the input's size, are packed best-fit, the longest first.
 
-The plan has some ten thousand runs of equal sequences and doesn't grow with the documents. Pieces are numbered within their
+A program leaves a small share of the pieces to the next, so the plan, some ten thousand runs of equal sequences a program, grows with
+the logarithm of the documents only. Pieces are numbered within their
 task and length as they are made and written; sums of the tasks' counts turn that into a number among all pieces of the
 length, and the plan maps it to a sequence and a place. Nothing is sorted or gathered by length, so equal lengths are no hot key.
 
@@ -46,6 +48,8 @@ STEP = 0.05
 SLACK = 0.03
 #: share of the tokens that is covered before counts are rounded
 COVERED = 0.95
+#: runs of sequences that a program is rounded to, about
+RUNS = 20_000
 #: pieces that are packed without a further program
 REMAINDER = 500
 
@@ -101,10 +105,14 @@ def cover(histogram: np.ndarray) -> tuple[dict[tuple[int, ...], float], float]:
         gain[0] = 0
         has = np.flatnonzero(gain)
         gain[has] /= count[has]
-        # the last thousandth may be exceeded, so that each round gets on
-        step = (np.maximum(np.minimum(STEP, 1 - covered[has]), 1e-3) / gain[has]).min()
-        covered += step * gain
-        for row, x in zip(chosen.tolist(), (amount * step).tolist()):
+        # each configuration as far as the length in it that has the least to gain; the last thousandth may be exceeded, so that rounds get on
+        most = np.full(capacity + 1, np.inf)
+        most[has] = np.maximum(np.minimum(STEP, 1 - covered[has]), 1e-3) / gain[has]
+        amount = amount * most[chosen].min(1)
+        added = np.zeros(capacity + 1)
+        np.add.at(added, chosen.ravel(), np.repeat(amount, chosen.shape[1]))
+        covered[has] += added[has] / count[has]
+        for row, x in zip(chosen.tolist(), amount.tolist()):
             configuration = tuple(v for v in row if v)
             used[configuration] = used.get(configuration, 0.0) + x
         live = live[covered[live] < 1 - 1e-9]
@@ -158,12 +166,13 @@ def plan(histogram: np.ndarray) -> tuple[list[Run], float]:
         bound = bound or least
         # room that even the best cover leaves in a sequence; each turn allows more
         room = (2 * max(0.0, capacity - tokens / least) + 1) * 2**turn - 1
-        carried = 0.0
+        carried, lot = 0.0, max(1, int(sum(used.values()) / RUNS))
         for configuration in sorted(used, reverse=True):
             if capacity - sum(configuration) <= room:
                 carried += used[configuration]
-                carried -= place(configuration, int(carried)) if carried >= 1 else 0
-                carried = min(carried, 1.0)
+                if carried >= lot:
+                    carried -= place(configuration, int(carried) // lot * lot)
+                carried = min(carried, lot)
         turn += 1
         if room >= capacity and left.sum() > before / 2:
             break

@@ -118,7 +118,7 @@ def test_mixing_inverts_poisson(spark):
     for s, n in (("big", 600), ("small", 60), (None, 30)):
         assert rates[s] == pytest.approx(690 * weights[s] / sum(weights.values()) / n)
     got = Counter(r.doc_id for r in mixing.replicate(docs).collect())
-    u = {r.doc_id: (r.u, r.source) for r in docs.select("doc_id", "source", mixing.uniform(F.lit(f"count{mixing.SEED}"), F.col("doc_id")).alias("u")).collect()}
+    u = {r.doc_id: (r.u, r.source) for r in docs.select("doc_id", "source", mixing.uniform(F.lit(f"count{mixing.SEED}"), F.col("doc_id"), F.md5("text")).alias("u")).collect()}
     assert all(got[d] == poisson_quantile(rates[s], x) for d, (x, s) in u.items())
 
 
@@ -136,12 +136,45 @@ def test_mixing_targets(spark):
     assert {r.source for r in mixing.replicate(nulls, targets={None: 1.0}).collect()} == {None} and mixing.replicate(nulls, targets={None: 0.0}).count() == 0
 
 
+def test_mixing_derived_input(spark):
+    """A table that is computed, not read, with adaptive execution."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.lit(1).alias("n_chars"))
+    out = mixing.replicate(docs)
+    assert out.count() == len(out.collect()) > 3500
+    bare = mixing.replicate(docs.select("doc_id", "source"))
+    assert bare.columns == ["doc_id", "source", "copy"] and bare.count() > 3500
+
+
+@pytest.mark.parametrize("hot", ["cast(null as long)", "7L"])
+def test_mixing_hot_ids(spark, hot):
+    """A third of the rows without an id, or with the same one: even partitions, and the rate as for others."""
+    docs = spark.range(40_000).selectExpr(f"if(id % 3 = 0, {hot}, id) AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "if(id % 3 = 0, 'hot', 'b') AS source", "1 AS n_chars")
+    rate = {r.source: (r.rate, r.n) for r in mixing.rates(docs).collect()}
+    out = mixing.replicate(docs)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1.1 * sum(sizes) / len(sizes)
+    mean, n = rate["hot"]
+    assert abs(out.where("source = 'hot'").count() - mean * n) < 4 * math.sqrt(mean * n)
+    copies = Counter(out.where("source = 'hot'").groupBy("text").count().select("count").toPandas()["count"])
+    assert len(copies) > 3
+
+
+def test_small_join_spreads_equal_rows(spark):
+    """Beyond what is broadcast: equal rows are spread, and columns that can't be hashed are no trouble."""
+    left = spark.range(20_000, numPartitions=40).selectExpr("if(id % 3 = 0, 0L, id) AS k", "'same' AS x", "array(map(1, 2)) AS nested", "map(1, 2) AS m")
+    right = spark.range(30_000).selectExpr("id AS k", "id * 2 AS twice")
+    out = left_join_small(left.drop("twice"), right, ["k"], limit=10)
+    assert out.columns == ["k", "x", "nested", "m", "twice"] and out.where("twice <> 2 * k or twice is null").count() == 0
+    salts = left.select(F.pmod(F.xxhash64("k", "x", F.spark_partition_id()), F.lit(64)).alias("s")).groupBy("s").count().collect()
+    assert out.count() == 20_000 and max(r["count"] for r in salts) < 3_000
+
+
 def test_mixing_order_and_clashing_names(spark):
     """Partitions are in order of the hash; rows and columns survive names that the operator uses inside."""
     docs = documents(spark, {"a": 500, "b": 50}).selectExpr("*", "1 as cdf", "2 as n", "3 as rate", "4 as first", "5 as _mix_n", "6 as _mix_order", "7 as _salt", "8 as _r_source", "9 as k")
     out = mixing.replicate(docs)
     assert out.columns == [*docs.columns, "copy"] and out.where("cdf <> 1 or _mix_n <> 5 or k <> 9").count() == 0
-    order = [hashlib.md5(f"order{mixing.SEED}|{r.doc_id}|{r.copy}".encode()).hexdigest() for r in out.collect()]
+    order = [hashlib.md5(f"order{mixing.SEED}|{r.doc_id}|{hashlib.md5(r.text.encode()).hexdigest()}|{r.copy}".encode()).hexdigest() for r in out.collect()]
     assert order == sorted(order) and len(order) > 400
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan

@@ -421,6 +421,36 @@ def test_regions_choose_among_all_lines():
     assert got == "\n\n".join([long.strip()] * 2 + [short] * 6)
 
 
+PROSE = "This is the long paragraph that a reader came for, with many words in it and with no tags at all. " * 4
+
+
+@pytest.mark.parametrize("name", "commentary related-work widget-text share-price notice-of-meeting menu-of-the-day promotion-history banner-years subscription-law".split())
+def test_names_that_only_hold_a_word_lose_nothing(name):
+    menu = "<nav><a href=x>Home</a></nav><div class='site-footer'><p>Imprint of the site</p></div>"
+    assert html_text.main_text(f"<body>{menu}<div class='{name}'><p>{PROSE}</p></div></body>") == PROSE.strip()
+    assert html_text.main_text(f"<body>{menu}<div><p>{PROSE}</p></div><article><p>{PROSE}</p><div id='{name}'><p>{PROSE}</p></div></article></body>").count("This is") == 12
+    # beside the text that the page is about, a doubtful element goes
+    assert html_text.main_text(f"<body>{menu}<div><p>{PROSE}{PROSE}</p></div><hr><section class='{name}'><p>{PROSE}</p></section></body>").count("This is") == (12 if name == "commentary" else 8)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad_box2", "cookieBanner", "comments", "comment-list", "x related-posts", "newsletter"])
+def test_names_of_known_parts(name):
+    assert html_text.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == ""
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a", "<a ", '<a href="', "<![CDATA[", "</", "<?", "<!", "<script>", "<title>", "&"])
+def test_unfinished_markup_costs_linear_time(piece):
+    began = time.perf_counter()
+    assert html_text.main_text(f"<p>{PROSE}</p>" + piece * 50_000).startswith(PROSE.strip()[:50])
+    assert time.perf_counter() - began < 5
+
+
+def test_cut_off_markup_is_no_text():
+    for end in ("<a hr", "<!-- not clo", "</di", '<img alt="x'):
+        assert html_text.main_text(f"<p>{PROSE}</p><p>cut off {end}") == f"{PROSE.strip()}\n\ncut off"
+    assert html_text.main_text("5 < 6 &amp; 7 <") == "5 < 6 & 7 <"
+
+
 def brute_main_text(parts):
     """Text by the stated rules for pages of plain lines: (container, tags, text) in page order, no links, no <article>."""
     ratios = [len(t) / tags for _, tags, t in parts]
