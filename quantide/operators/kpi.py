@@ -2,9 +2,10 @@
 
 Stages: fill by the sector's median, smooth per company, winsorise and scale within the
 sector, align directions, score (supervised, by principal components, or by the
-equal-weight fallback), rescale. No stage gathers a sector in one task: medians, quantiles,
-covariances and the sums of Newton's steps are aggregates by sector, joined back, and ranks are
-made by offsets of value blocks. What is solved in Python is one small matrix per sector.
+equal-weight fallback), rescale. No stage gathers a sector in one task: covariances and the sums
+of Newton's steps are aggregates by sector, joined back; quantiles and ranks are exact ones by value
+blocks (``order_stats``). What is solved in Python is one small matrix per sector. Panels are
+written where two passes would compute them twice.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantide.functions.shared import written
+from quantide.operators.order_stats import average_ranks, quantiles
 
 #: sectors whose aggregates are broadcast; beyond it they are joined by a shuffle
 BROADCAST_SECTORS = 20_000
-#: value blocks of a sector that are ranked apart
-BLOCKS = 64
 
 
 def by_sector(panel: DataFrame, small: DataFrame) -> DataFrame:
@@ -43,8 +43,11 @@ def smoothed(panel: DataFrame, features: list[str], window: int = 4) -> DataFram
 
 
 def _sector_quantiles(panel: DataFrame, features: list[str], qs: list[float]) -> DataFrame:
-    """sector and <feature>_q: quantiles; joined back, a sector has one row here whatever its size."""
-    return panel.groupBy(F.col("sector").alias("_s")).agg(*[F.percentile(f, F.array(*[F.lit(q) for q in qs])).alias(f"{f}_q") for f in features])
+    """_s and <feature>_q: quantiles; joined back, a sector has one row here whatever its size."""
+    long = panel.select(F.col("sector").alias("_s"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select("_s", "x.*")
+    q = quantiles(long, ["_s", "feature"], qs)
+    # a row for each feature of a sector
+    return q.groupBy("_s").agg(*[F.any_value(F.when(F.col("feature") == f, F.col("q")), ignoreNulls=True).alias(f"{f}_q") for f in features])
 
 
 def _with_quantiles(panel: DataFrame, features: list[str], qs: list[float]) -> DataFrame:
@@ -78,21 +81,8 @@ def aligned(panel: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:
 
 
 def percent_ranked(panel: DataFrame, c: str, name: str) -> DataFrame:
-    """Add the rank in the sector in percent, equal values at their average rank; nulls rank first.
-
-    A sector is cut into value blocks by approximate quantiles; exact ranks are those in a block after the rows of the blocks before.
-    """
-    cuts = panel.groupBy(F.col("sector").alias("_s")).agg(F.percentile_approx(c, [k / BLOCKS for k in range(1, BLOCKS)], 2000).alias("_cuts"))
-    rows = by_sector(panel, cuts).withColumn("_b", F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col(c))))).drop("_cuts")
-    sizes = rows.groupBy("sector", "_b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("sector")
-    before = sizes.select("sector", "_b", (F.sum("n").over(w.orderBy("_b")) - F.col("n")).alias("_before"), F.sum("n").over(w).alias("_n"))
-    packed = before.groupBy(F.col("sector").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_before"))).alias("_at"), F.max("_n").alias("_n"))
-    block = Window.partitionBy("sector", "_b")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("sector", "_b", c))
-    rows = rows.withColumn("_k", F.rank().over(block.orderBy(c)) + (ties - 1) / 2)
-    out = by_sector(rows, packed)
-    return out.withColumn(name, 100 * (F.try_element_at("_at", F.col("_b")) + F.col("_k")) / F.col("_n")).drop("_b", "_at", "_n", "_k")
+    """Add the rank in the sector in percent, equal values at their average rank; nulls rank first."""
+    return average_ranks(written(panel, "ranking"), ["sector"], c).withColumn(name, 100 * F.col("_rank") / F.col("_total")).drop("_rank", "_total")
 
 
 def fallback_scores(panel: DataFrame, features: list[str]) -> DataFrame:
@@ -151,7 +141,7 @@ def pca_scores(panel: DataFrame, features: list[str], variance: float = 0.7) ->
         return F.aggregate(F.zip_with("_pcs", "loadings", lambda a, v: a * v[k]), F.lit(0.0), lambda s, y: s + y)
 
     back = {f"contrib_{f}": along(k) for k, f in enumerate(features)}
-    x = x.withColumns(back).drop("_pcs", "loadings", "ratios", "means")
+    x = written(x.withColumns(back).drop("_pcs", "loadings", "ratios", "means"), "components")
     j = _with_quantiles(x, ["_raw"], [0.02, 0.98])
     j = j.withColumn("_raw", F.when(F.col("_raw").isNotNull(), F.least(F.greatest(F.col("_raw"), F.col("_raw_q")[0]), F.col("_raw_q")[1]))).drop("_raw_q")
     out = percent_ranked(j, "_raw", "score").withColumn("score", F.when(F.col("_raw").isNotNull(), F.col("score")))
@@ -231,7 +221,8 @@ def with_bootstrap(scored: DataFrame) -> DataFrame:
 def model_info(panel: DataFrame, features: list[str], higher_is_better: dict[str, bool] | None = None, label: str | None = None, mode: str = "pca", variance: float = 0.7) -> DataFrame:
     """How ``health_scores`` comes to its scores: sector, feature, median, iqr, multiplier, mode, rows, and the number and share of variance of the components used (null in other modes)."""
     up = higher_is_better or dict.fromkeys(features, True)
-    out = winsorised(smoothed(imputed(panel, features), features), features)
+    panel = written(panel, "panel")
+    out = winsorised(written(smoothed(imputed(panel, features), features), "smoothed"), features)
     signs = F.create_map(*[F.lit(v) for f in features for v in (f, 1.0 if up[f] else -1.0)])
     kind = "supervised" if label is not None and not panel.where(F.col(label).isNotNull()).isEmpty() else mode
     rows = panel.groupBy(F.col("sector").alias("_s")).agg(F.count(F.lit(1)).alias("rows"))
@@ -245,22 +236,23 @@ def model_info(panel: DataFrame, features: list[str], higher_is_better: dict[str
 
 def rescaled(scored: DataFrame) -> DataFrame:
     """health_score: the score clipped to its 1st and 99th percentile over all rows, put on 0 to 100."""
-    q = scored.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.99))).alias("_q"))
-    lo, hi = F.col("_q")[0], F.col("_q")[1]
+    scored = written(scored, "scores")
+    q = quantiles(scored.select(F.lit(0).alias("k"), "score"), ["k"], [0.01, 0.99], "score").first()
+    lo, hi = (F.lit(v).cast("double") for v in (q["q"] if q else (None, None)))
     clipped = F.when(F.col("score").isNotNull(), F.least(F.greatest(F.col("score"), lo), hi))
-    return scored.join(F.broadcast(q)).withColumn("health_score", (clipped - lo) / F.greatest(hi - lo, F.lit(1e-9)) * 100).drop("_q")
+    return scored.withColumn("health_score", (clipped - lo) / F.greatest(hi - lo, F.lit(1e-9)) * 100)
 
 
 def prepared(panel: DataFrame, features: list[str], higher_is_better: dict[str, bool] | None = None, smooth: int | None = 4, winsorise: bool = True) -> DataFrame:
-    out = imputed(panel, features)
-    out = smoothed(out, features, smooth) if smooth else out
+    out = imputed(written(panel, "panel"), features)
+    out = written(smoothed(out, features, smooth) if smooth else out, "smoothed")
     out = winsorised(out, features) if winsorise else out
     return aligned(scaled(out, features), higher_is_better or dict.fromkeys(features, True))
 
 
 def health_scores(panel: DataFrame, features: list[str], higher_is_better: dict[str, bool] | None = None, label: str | None = None, mode: str = "pca", bootstrap: bool = True) -> DataFrame:
     """The panel's keys with health_score, health_se and contributions. Mode: pca or equal; a label means supervised."""
-    ready = prepared(panel, features, higher_is_better)
+    ready = written(prepared(panel, features, higher_is_better), "prepared")
     if label is not None and not panel.where(F.col(label).isNotNull()).isEmpty():
         scored = logit_scores(ready, features, label)
     else:
