@@ -39,11 +39,17 @@ def fingerprint(tail: Column) -> Column:
     return F.sha1(F.array_join(F.transform(tail, lambda x: x.cast("string")), ",").cast("binary"))
 
 
-def sanitise(bars: DataFrame, min_days: int, order: DataFrame | None = None) -> DataFrame:
+def first_bars(bars: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Of bars with the same instrument and stamp the first: by the column ``arrival``, without it any one."""
+    return latest_rows(bars, ["ticker", "ts"], [F.asc(arrival)]) if arrival else bars.dropDuplicates(["ticker", "ts"])
+
+
+def sanitise(bars: DataFrame, min_days: int, order: DataFrame | None = None, arrival: str | None = None) -> DataFrame:
     """ticker and status: kept, short (fewer prices than min_days), empty (none in the tail) or duplicate.
 
-    Of equal tails the first is kept: by ``order`` (ticker, ord) if given, else by name.
+    Repeated stamps of an instrument count once (see ``first_bars``). Of equal tails the first is kept: by ``order`` (ticker, ord) if given, else by name.
     """
+    bars = first_bars(bars, arrival)
     closes = R.close_frame(bars)
     counts = bars.select("ticker").distinct().join(closes.groupBy("ticker").agg(F.count("px").alias("n")), "ticker", "left")
     fp = tails(closes, R.date_grid(bars), tail_length(min_days)).select("ticker", fingerprint(F.col("tail")).alias("fp"))

@@ -76,9 +76,10 @@ def top_series(ranking: DataFrame, bars: DataFrame, k: int, name: str) -> DataFr
     return bars.join(F.broadcast(top), "ticker", "left_semi")
 
 
-def highlighted(ranking: DataFrame, tickers: list[str]) -> DataFrame:
-    """The ranking with a flag on the asked instruments, whatever the case and spaces they were written with."""
-    return ranking.withColumn("highlight", F.col("ticker").isin([t.strip().upper() for t in tickers]))
+def highlighted(ranking: DataFrame, name: str, first: int = 10) -> DataFrame:
+    """The ranking with a flag on its first rows, by the metric, ties by ticker."""
+    top = ranking.orderBy(F.desc_nulls_last(name), "ticker").limit(first).select("ticker").withColumn("highlight", F.lit(True))
+    return ranking.join(F.broadcast(top), "ticker", "left").select(*ranking.columns, F.coalesce("highlight", F.lit(False)).alias("highlight"))
 
 
 def default_selection(ranking: DataFrame, name: str, k: int = 5) -> DataFrame:

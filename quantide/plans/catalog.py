@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantide.plans import data_queries, kpi_queries, metric_queries, store_queries
+from quantide.plans import data_queries, durability_queries, kpi_queries, metric_queries, store_queries
 
-_MODULES = (metric_queries, data_queries, kpi_queries, store_queries)
+_MODULES = (metric_queries, data_queries, kpi_queries, store_queries, durability_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -258,8 +258,8 @@ _RANKED = f"ranked AS (SELECT * FROM ({_CC.format(ppy=252)}) WHERE cc_vol IS NOT
 query("top_series", f"WITH {I.SPARSE}, {I.GRID}, {_RANKED} SELECT ticker, {_stamp('ts')}, round(\"close\", 6) AS \"close\" FROM bars WHERE ticker IN (SELECT ticker FROM ranked ORDER BY cc_vol DESC, ticker LIMIT 5)")(
     lambda s, d: universe.top_series(metrics.compute("cc_vol", I.sparse(s, d)), I.sparse(s, d), 5, "cc_vol").select("ticker", "ts", "close")
 )
-query("highlighted", f"WITH {I.DENSE}, {I.GRID}, {_RANKED} SELECT ticker, cc_vol, ticker IN ('click', 'view') AS highlight FROM ranked")(
-    lambda s, d: universe.highlighted(metrics.compute("cc_vol", I.dense(s, d)).withColumn("ticker", F.upper("ticker")), [" click", "View"]).withColumn("ticker", F.lower("ticker"))
+query("highlighted", f"WITH {I.SPARSE}, {I.GRID}, {_RANKED} SELECT ticker, cc_vol, row_number() OVER (ORDER BY cc_vol DESC, ticker) <= 10 AS highlight FROM ranked")(
+    lambda s, d: universe.highlighted(metrics.compute("cc_vol", I.sparse(s, d)).where("cc_vol is not null"), "cc_vol")
 )
 query("default_selection", f"WITH {I.DENSE}, {I.GRID}, {_RANKED} SELECT ticker FROM ranked ORDER BY cc_vol DESC, ticker LIMIT 2")(lambda s, d: universe.default_selection(metrics.compute("cc_vol", I.dense(s, d)), "cc_vol", 2))
 query("inferred_interval", f"WITH {I.SPARSE}, x AS (SELECT ticker, epoch(ts - lag(ts) OVER (PARTITION BY ticker ORDER BY ts)) / 60 AS m FROM bars), n AS (SELECT ticker, m, count(*) AS n FROM x WHERE m > 0 GROUP BY ALL) SELECT ticker, round(arg_max(m, (n, -m)), 6) AS minutes, round(max(n) / sum(n), 6) AS share FROM n GROUP BY ticker")(lambda s, d: validate.inferred_interval(I.sparse(s, d)))

@@ -49,6 +49,13 @@ class BarStore:
         known = current(self.manifests()).where(F.col("interval") == interval).select("ticker")
         return rows.join(known, "ticker", "left_semi").select(*BARS.names)
 
+    def write(self, rows: DataFrame, entries: DataFrame) -> None:
+        """Replaces the partitions of the instruments of ``rows`` (with interval) when the job commits, then appends their manifest entries, of which the last counts."""
+        # an instrument with a large share of the rows is split by month
+        spread = rows.repartition("ticker", F.date_trunc("month", "ts")).sortWithinPartitions("ticker", "ts")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "ticker").parquet(f"{self.root}/bars")
+        entries.write.mode("append").parquet(f"{self.root}/manifest")
+
     def load(self, ticker: str, interval: str = "1d") -> DataFrame:
         """One instrument's bars by time; an error if there are none."""
         rows = self.bars(interval, [ticker])

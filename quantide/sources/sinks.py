@@ -22,8 +22,8 @@ EXPORT_ROWS = 1_000_000
 def save_bars(store: BarStore, bars: DataFrame, interval: str, source: str, validate: bool = True, sessions: DataFrame | None = None, allowed_gaps: DataFrame | None = None) -> None:
     """Replace the stored bars of the instruments present; other partitions stay. An empty frame is refused.
 
-    All checks come before anything is written; with ``sessions`` given, gaps other than the allowed ones are refused too. Each
-    partition is replaced when the job commits. Manifest entries are appended after that and the last one counts, so a save that fails in between leaves no entry for what isn't there.
+    All checks come before anything is written; with ``sessions`` given, gaps other than the allowed ones are refused too. How a
+    save that stops halfway leaves the store is up to it: a ``SnapshotStore`` then shows the state before.
     """
     if bars.isEmpty():
         raise ValidationError("no bars to store", interval=interval)
@@ -33,8 +33,7 @@ def save_bars(store: BarStore, bars: DataFrame, interval: str, source: str, vali
     if validate and sessions is not None and not (bad := gaps(bars, sessions, interval, allowed_gaps)).isEmpty():
         raise ValidationError("bars have gaps", found=[tuple(r) for r in bad.limit(20).collect()])
     rows = bars.select(*[(F.col(f.name) if f.name in bars.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in BARS]).withColumn("interval", F.lit(interval))
-    rows.repartition("ticker").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "ticker").parquet(f"{store.root}/bars")
-    entries.write.mode("append").parquet(f"{store.root}/manifest")
+    store.write(rows, entries)
 
 
 def save_csv(df: DataFrame, path: str, escape: bool = False, one_file: bool = False) -> None:
