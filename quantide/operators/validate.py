@@ -11,11 +11,20 @@ from quantide.schema import finite
 
 
 def business_day_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """ticker and each session between its first and last day without a bar."""
-    observed = bars.select("ticker", F.to_date("ts").alias("session")).distinct()
-    span = observed.groupBy("ticker").agg(F.min("session").alias("a"), F.max("session").alias("b"))
-    expected = span.join(F.broadcast(sessions.select("session")), F.col("session").between(F.col("a"), F.col("b"))).select("ticker", "session")
-    return expected.join(observed, ["ticker", "session"], "left_anti")
+    """ticker and each session between its first and last day without a bar.
+
+    Days are numbered by the sessions up to them, over the distinct days of bars and calendar. Two neighbouring days of an instrument with
+    sessions between their numbers are a gap, and only gaps are expanded: nothing is made for each instrument and session.
+    """
+    observed = bars.select("ticker", F.to_date("ts").alias("day")).distinct()
+    calendar = sessions.select(F.col("session").alias("day"), F.lit(1).alias("open")).unionByName(observed.select("day").distinct().withColumn("open", F.lit(0)))
+    days = calendar.groupBy("day").agg(F.max("open").alias("open"))
+    # a row for each distinct day
+    days = days.withColumn("upto", F.sum("open").over(Window.orderBy("day")))
+    before = F.lag("upto").over(Window.partitionBy("ticker").orderBy("day"))
+    gaps = observed.join(F.broadcast(days), "day").select("ticker", before.alias("a"), (F.col("upto") - F.col("open")).alias("b")).where("a < b")
+    missing = gaps.select("ticker", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("upto"))
+    return missing.join(F.broadcast(days.where("open = 1").select("upto", F.col("day").alias("session"))), "upto").select("ticker", "session")
 
 
 def intraday_gaps(bars: DataFrame, sessions: DataFrame, interval: str, allowed: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from quantide.functions.shared import written
 from quantide.operators import kpi, sanitize
 from quantide.plans import inputs as I
 from quantide.plans.metric_queries import _BAR_COLUMNS, rounded
-from quantide.sources import sinks
+from quantide.sources import quotes, sinks
 from quantide.sources.snapshots import SnapshotStore, served
 from quantide.streaming import bars as S
 
@@ -239,6 +240,63 @@ def _durations(s, d):
     return runs.union(s.createDataFrame([("rows", seen.counts["rows"])], "kind string, n long"))
 
 
+# -- fetching -------------------------------------------------------------------------------
+
+
+class QuoteFiles:
+    """A source over one JSON file of quotes for each instrument, that notes each time it is asked; ``broken`` names fail."""
+
+    def __init__(self, path, notes, broken=()):
+        self.path, self.notes, self.broken = path, notes, broken
+
+    def quotes(self, tickers, start, end, interval):
+        import json
+
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(self.path)
+        notes, folder = fs.FileSystem.from_uri(self.notes)
+        with notes.open_output_stream(f"{folder}/{uuid.uuid4().hex}.json") as out:
+            out.write("\n".join(json.dumps({"ticker": t, "asked": len(tickers)}) for t in tickers).encode())
+        if set(tickers) & set(self.broken):
+            raise ConnectionError("unreachable")
+        for t in tickers:
+            for found in where.get_file_info(fs.FileSelector(f"{root}/ticker={t}", allow_not_found=True)):
+                if found.base_name.endswith(".json"):
+                    with where.open_input_stream(found.path) as lines:
+                        for line in lines.readall().decode().splitlines():
+                            q = json.loads(line)
+                            at = datetime.fromisoformat(q["ts"])
+                            if start <= at.date() < end:
+                                yield t, at, q.get("open"), q.get("high"), q.get("low"), q.get("close"), None, q["volume"]
+
+
+def _quotes(s, d, rows, names, broken=(), batch=40):
+    path, notes = _folder(s, "quotes"), _folder(s, "asked")
+    rows.select("ticker", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "open", "high", "low", "close", "volume").repartition("ticker").write.partitionBy("ticker").json(path)
+    uri = lambda x: x if ":" in x else f"file://{x}"
+    s.createDataFrame([("x",)], "ticker string").write.json(notes)
+    asking = quotes.Asking(QuoteFiles(uri(path), uri(notes), broken), date(2024, 1, 1), date(2024, 2, 1), "1d", attempts=2, wait=0.01)
+    return quotes.fetch_quotes(s, asking, names, batch), s.read.schema("ticker string, asked int").json(notes).where("asked is not null")
+
+
+@query("quotes_scanned", f"WITH {I.SPARSE}, b AS (SELECT {_BAR_COLUMNS} FROM bars) SELECT b.*, 1::BIGINT AS asked FROM b")
+def _scanned(s, d):
+    """All instruments by one scan, a partition for each batch; the source sees each of them once."""
+    rows = written(I.sparse(s, d), "bars")
+    names = [r.ticker for r in rows.select("ticker").distinct().collect()]
+    got, asked = _quotes(s, d, rows, names)
+    return got.bars.select(*_COLS).join(asked.groupBy("ticker").agg(F.count(F.lit(1)).alias("asked")), "ticker")
+
+
+@query("quotes_failures", f"WITH {I.DENSE} SELECT ticker, count(*) AS n, '' AS reason FROM bars WHERE ticker <> 'view' GROUP BY ticker UNION ALL SELECT * FROM (VALUES ('view', 0, 'ConnectionError: unreachable'), ('nothing', 0, 'no data'))")
+def _quote_failures(s, d):
+    """A batch with a broken instrument is asked for one by one; what fails comes out as a row."""
+    got, _ = _quotes(s, d, I.dense(s, d), ["click", "view", "purchase", "error", "signup", "nothing"], ["view"], 4)
+    failed = s.createDataFrame([(t, 0, r) for t, r in got.failures], "ticker string, n long, reason string")
+    return got.bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("")).unionByName(failed)
+
+
 # -- small items ----------------------------------------------------------------------------
 
 query("sanitize_repeated", f"WITH {I.HOLED} SELECT ticker, CASE WHEN count(*) < 30 THEN 'short' ELSE 'kept' END AS status FROM bars GROUP BY ticker")(
