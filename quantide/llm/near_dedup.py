@@ -24,7 +24,8 @@ bucket is left with an uncompared pair of two components. A compared pair goes t
 verified on the multisets of both texts; shingles are told apart by 64-bit hashes throughout.
 
 Buckets with many members (see ``PER_CUT``) are cut by member for every join, and their
-pivots are found in two steps, first in each cut: no task holds a bucket.
+pivots are found by a tree: the first of each cut, then of ``FAN`` cuts, and so on: no task holds a bucket, or more
+than ``FAN`` times the pivots of a round.
 
 Components are found by hooking to smaller neighbours and doubling, each step written
 to the shared folder. Nothing of the corpus comes to the driver but counts.
@@ -60,6 +61,8 @@ COMPONENTS = BANDS * ROWS
 PIVOTS = (1, 32, 1024)
 #: members of a bucket that are joined as one
 PER_CUT = 256
+#: cuts, or groups of cuts, whose first members are put together
+FAN = 16
 #: hash classes by which shared weights bound a pair's overlap
 PARTS = 64
 #: of the components: nearly five standard deviations below what a pair at the threshold has (lost with probability 1e-6)
@@ -401,13 +404,18 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _pivots(members: DataFrame, most: int) -> DataFrame:
-    """The first members of each bucket by place; in buckets that are cut, first of each cut, then of those."""
+    """The first members of each bucket by place; in buckets that are cut, first of each cut, then of ``FAN`` of those, up to the bucket."""
 
     def first(rows: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("place", "node")
         return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
 
-    found = first(members.where("cuts = 1").unionByName(first(members.where("cuts > 1"), "bucket", "cut")), "bucket")
+    width = members.agg(F.max("cuts")).first()[0] or 1
+    of_cuts = first(members.where("cuts > 1"), "bucket", "cut")
+    while width > FAN:
+        width = -(-width // FAN)
+        of_cuts = first(of_cuts.withColumn("cut", F.expr(f"cut div {FAN}").cast("int")), "bucket", "cut")
+    found = first(members.where("cuts = 1").unionByName(of_cuts), "bucket")
     return stored(found.select("bucket", "cuts", *[F.col(c).alias(f"p_{c}") for c in ("node", "comp", "place", "weight", "shared", "parts")]), "pivots")
 
 

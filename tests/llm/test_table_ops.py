@@ -451,3 +451,15 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pivots_of_a_large_bucket(spark):
+    """The first members of a bucket of 50,000 in 196 cuts are right, and no task of the tree gets more than a few groups' firsts."""
+    n, cuts = 50_000, 196
+    members = spark.range(n).selectExpr("1L AS bucket", "id AS node", f"cast(pmod(hash(id), {cuts}) AS int) AS cut", f"{cuts} AS cuts", "id AS comp", "cast(pmod(hash(id, 7), 1000) AS int) AS place", "10 AS weight", "9 AS shared", "array(1) AS parts")
+    members = members.unionByName(spark.range(5).selectExpr("2L AS bucket", "id AS node", "0 AS cut", "1 AS cuts", "id AS comp", "cast(id AS int) AS place", "10 AS weight", "9 AS shared", "array(1) AS parts"))
+    rows = members.select("bucket", "place", "node").collect()
+    for most in (1, 32, 300):
+        got = {(r.bucket, r.p_place, r.p_node) for r in near_dedup._pivots(members, most).collect()}
+        want = {x for b in (1, 2) for x in sorted(tuple(r) for r in rows if r.bucket == b)[:most]}
+        assert got == want
