@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from quantide.functions.shared import written
 from quantide.operators import kpi, sanitize
 from quantide.plans import inputs as I
+from quantide.plans.data_queries import SQL as SQL_OF, _sides
 from quantide.plans.metric_queries import _BAR_COLUMNS, rounded
 from quantide.sources import quotes, sinks
 from quantide.sources.snapshots import SnapshotStore, served
-from quantide.streaming import bars as S
+from quantide.streaming import bars as S, replay
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -240,6 +241,22 @@ def _durations(s, d):
     return runs.union(s.createDataFrame([("rows", seen.counts["rows"])], "kind string, n long"))
 
 
+@query("stream_replayed", SQL_OF["annotations_conflicts"])
+def _replayed(s, d):
+    """Offline changes in the client's order, cut into three batches with a restart: the outcomes are those of one replay."""
+    server, pending = _sides(s, d)
+    path, out, state = _folder(s, "changes"), _folder(s, "outcomes"), _folder(s, "state")
+    rows = written(pending.select("ticker", "note", F.col("client_timestamp").cast("timestamp").alias("client_timestamp")), "pending")
+    first, last = rows.agg(F.unix_timestamp(F.min("client_timestamp")), F.unix_timestamp(F.max("client_timestamp"))).first()
+    third = (F.unix_timestamp("client_timestamp") - first) * 3 / max(1, last - first + 1)
+    for k in range(3):
+        rows.where(F.floor(third) == k).coalesce(1).write.mode("append").parquet(path)
+        if k:
+            changes = s.readStream.schema("ticker string, note string, client_timestamp timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+            S.to_files(replay.replayed(changes, server), out, state).awaitTermination()
+    return s.read.parquet(out).select("ticker", "note", "client_timestamp", "outcome")
+
+
 # -- fetching -------------------------------------------------------------------------------
 
 

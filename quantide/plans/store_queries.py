@@ -125,6 +125,16 @@ def _convert_intraday(s, d):
     return s.createDataFrame([(store.bars("1h").count(),)], "stored bigint")
 
 
+@query("convert_legacy_deleted", f"WITH {I.DENSE} SELECT {_BAR_COLUMNS}, 0 AS files FROM bars")
+def _convert_deleted(s, d):
+    """The files of what was stored are gone afterwards."""
+    store, path = readers.BarStore(s, _folder(s, "store")), _legacy_folder(s, d)
+    sinks.convert_legacy(store, path, delete=True)
+    where = s._jvm.org.apache.hadoop.fs.Path(path)
+    left = where.getFileSystem(s._jsparkSession.sessionState().newHadoopConf()).globStatus(where)
+    return store.bars("1d").select(*_COLS, F.lit(len(left)).alias("files"))
+
+
 @query("universe_csv", f"WITH {I.COMPANIES} SELECT rank, company, trim(ticker) AS ticker FROM companies")
 def _universe_csv(s, d):
     path = _folder(s, "universe")
@@ -176,7 +186,9 @@ def _failures(s, d):
 
 
 query("records_json", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS j FROM region")(lambda s, d: I.read(s, d, "region").select("r_regionkey", "r_name").select("r_regionkey", sinks.records_json(I.read(s, d, "region").select("r_regionkey", "r_name")).alias("j")))
-query("sha256_tag", "SELECT sha256('{\"a\":[1,null],\"b\":\"x\"}') AS tag")(lambda s, d: s.createDataFrame([(sinks.canonical({"b": "x", "a": [1, None]})[1],)], "tag string"))
+query("sha256_tag", """SELECT sha256('[' || string_agg('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}', ',' ORDER BY r_regionkey) || ']') AS tag FROM region""")(
+    lambda s, d: s.createDataFrame([(sinks.canonical([r.asDict() for r in I.read(s, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()])[1],)], "tag string")
+)
 query("synthetic_bars", "SELECT 'B' AS ticker, 50::BIGINT AS n, TRUE AS sound, '2020-02-19' AS last UNION ALL SELECT 'A', 50, TRUE, '2020-02-19'")(
     lambda s, d: readers.synthetic_bars(s, 50, ["A", "B"]).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min((F.col("low") > 0) & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close"))).alias("sound"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last"))
 )

@@ -29,7 +29,7 @@ class RetryingSource:
     """A source that is asked again after passing errors, waiting twice as long each time."""
 
     source: PriceSource
-    attempts: int = 3
+    attempts: int = 5
     wait: float = 0.5
     passing: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)
     sleep: Callable[[float], None] = time.sleep

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import sqlite3
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantide.functions.shared import written
 from quantide.functions.text import escape_formulas
 from quantide.operators.ingest import manifest
 from quantide.operators.validate import gaps, violations
@@ -62,14 +64,29 @@ def append_failures(df: DataFrame, path: str) -> None:
     df.select("timestamp", "interval", "ticker", "reason").write.mode("append").option("header", True).csv(path)
 
 
-def convert_legacy(store: BarStore, path: str, interval: str = "1d", dry_run: bool = False) -> DataFrame:
-    """Store legacy CSV bars with source repair, unchecked; intraday files without times are left out. Returns the tickers."""
+def convert_legacy(store: BarStore, path: str, interval: str = "1d", dry_run: bool = False, delete: bool = False) -> DataFrame:
+    """Store legacy CSV bars with source repair, unchecked; intraday files without times are left out. Returns the tickers.
+
+    With ``delete`` the files of stored instruments are removed once the save has gone through.
+    """
     bars = legacy_csv(store.spark, path)
     if interval.endswith(("m", "h")):
         bars = bars.join(has_time_parts(bars).where("has_time").select("ticker"), "ticker", "left_semi")
-    if not dry_run:
-        save_bars(store, bars, interval, "repair", validate=False)
-    return bars.select("ticker").distinct()
+    tickers = bars.select("ticker").distinct()
+    if dry_run:
+        return tickers
+    save_bars(store, bars, interval, "repair", validate=False)
+    if not delete:
+        return tickers
+    tickers = written(tickers, "converted")
+    names = tickers.collect()  # a file each
+    where = store.spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(store.spark._jsparkSession.sessionState().newHadoopConf())
+    stored = {quote(r.ticker, safe="") for r in names} | {r.ticker for r in names}
+    for status in fs.globStatus(where) or []:
+        if status.getPath().getName().removesuffix(".gz").removesuffix(".csv") in stored:
+            fs.delete(status.getPath(), False)
+    return tickers
 
 
 def records_json(df: DataFrame) -> Column:
