@@ -77,6 +77,46 @@ SELECT sector, feature, round(median(v), 6) AS median, round(CASE WHEN quantile_
 )
 
 
+# -- models, of one or two features: these have closed forms -----------------------------
+_TWO = ["n_orders", "revenue"]
+_COMP = f"""{_ALI}, cov AS (SELECT sector, avg(n_orders) AS m1, avg(revenue) AS m2, var_pop(n_orders) AS a, covar_pop(n_orders, revenue) AS b, var_pop(revenue) AS c FROM ali GROUP BY sector),
+eig AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM cov),
+vec AS (SELECT *, b / sqrt(b * b + (l1 - a) ** 2) AS x, (l1 - a) / sqrt(b * b + (l1 - a) ** 2) AS y, l1 / (l1 + l2) AS ratio FROM eig),
+com AS (SELECT sector, m1, m2, ratio, x * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS v1, y * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS v2 FROM vec)"""
+query("kpi_components", f"WITH {_COMP} SELECT sector, round(v1, 6) AS n_orders, round(v2, 6) AS revenue, round(ratio, 6) AS ratio FROM com")(
+    lambda s, d: kpi.components(_ready(s, d), _TWO, 0.01).select(F.col("_s").alias("sector"), F.col("loadings")[0][0].alias("n_orders"), F.col("loadings")[0][1].alias("revenue"), F.col("ratios")[0].alias("ratio"))
+)
+query("kpi_pca_scores", f"""WITH {_COMP}, raw AS (SELECT company, date, sector, (v1 * (n_orders - m1) + v2 * (revenue - m2)) AS pc, ratio, v1, v2 FROM ali JOIN com USING (sector)),
+cut AS (SELECT *, least(greatest(pc * ratio, quantile_cont(pc * ratio, 0.02) {_W}), quantile_cont(pc * ratio, 0.98) {_W}) AS r FROM raw)
+SELECT company, strftime(date, '%Y-%m-%d') AS date, sector, round(100.0 * (rank() OVER (PARTITION BY sector ORDER BY r) + (count(*) OVER (PARTITION BY sector, r) - 1) / 2.0) / count(*) {_W}, 6) AS score,
+       round(pc * v1, 6) AS contrib_n_orders, round(pc * v2, 6) AS contrib_revenue FROM cut""")(
+    lambda s, d: kpi.pca_scores(_ready(s, d).select("company", "date", "sector", *_TWO), _TWO, 0.01).drop(*_TWO)
+)
+
+
+def _newton(steps: int) -> str:
+    """SQL of Newton's steps of a balanced logistic regression with one feature f."""
+    out = []
+    for k in range(steps):
+        out.append(f"""w{k + 1} AS MATERIALIZED (SELECT sector, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM (
+  SELECT sector, a, b, sum(v * p * (1 - p) * f * f) + 1 + 1e-9 AS h11, sum(v * p * (1 - p) * f) AS h12, sum(v * p * (1 - p)) + 1e-9 AS h22, sum(v * (p - y) * f) + a AS g1, sum(v * (p - y)) AS g2
+  FROM (SELECT x.*, a, b, 1 / (1 + exp(-least(greatest(a * f + b, -30), 30))) AS p FROM x JOIN w{k} USING (sector)) GROUP BY sector, a, b))""")
+    return ", ".join(out)
+
+
+query("kpi_logit_weights", f"""WITH {_ALI}, l AS (SELECT ali.sector, ali.n_orders AS f, (panel.revenue < 150000)::INT AS y FROM ali JOIN panel USING (company, date)),
+n AS (SELECT sector, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM l GROUP BY sector HAVING sum(y) > 0 AND sum(y) < count(*)),
+x AS MATERIALIZED (SELECT l.*, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS v FROM l JOIN n USING (sector)),
+w0 AS MATERIALIZED (SELECT sector, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM n), {_newton(25)}
+SELECT sector, round(a, 6) AS slope, round(b, 6) AS intercept FROM w25""")(
+    lambda s, d: kpi.logit_models(_labelled(s, d).withColumn("_fold", F.lit(-1)), ["n_orders"], "label", 0).select(F.col("_s").alias("sector"), F.col("w")[0].alias("slope"), F.col("w")[1].alias("intercept"))
+)
+
+
+def _labelled(s, d):
+    return _ready(s, d).join(I.panel(s, d).select("company", "date", (F.col("revenue") < 150000).cast("int").alias("label")), ["company", "date"])
+
+
 @query("stream_bars", f"WITH {I.DENSE} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(\"close\", 6) AS \"close\", volume FROM bars")
 def _stream(s, d):
     schema = ", ".join(f"{c} {t}" for c, t in I.read(s, d, "events").dtypes)
