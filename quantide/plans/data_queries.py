@@ -204,6 +204,15 @@ query("trading_sessions", f"WITH {_SESSIONS.format(a=chr(68) + 'ATE ' + chr(39)
 )
 
 
+@query("session_orders", f"WITH {_SESSIONS.format(a='(SELECT min(o_orderdate)::DATE FROM orders)', b='(SELECT max(o_orderdate)::DATE FROM orders)')} SELECT strftime(session, '%Y-%m-%d') AS session, count(o_orderkey) AS n FROM sessions LEFT JOIN orders ON o_orderdate::DATE = session GROUP BY session")
+def _session_orders(s, d):
+    """Orders of each trading session between the first and the last order."""
+    orders = I.read(s, d, "orders").withColumn("session", F.to_date("o_orderdate"))
+    first, last = orders.agg(F.min("session"), F.max("session")).first()
+    return calendar.sessions(s, first, last).select("session").join(orders.groupBy("session").agg(F.count(F.lit(1)).alias("n")), "session", "left").select("session", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+
 def _jan(s):
     return calendar.sessions(s, date(2024, 1, 1), TODAY)
 

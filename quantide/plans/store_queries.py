@@ -95,13 +95,17 @@ def _gapped(s, d):
 def _legacy_folder(s, d):
     path = _folder(s, "legacy")
     rows = I.dense(s, d).select("ticker", F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
-    # one file per instrument, named after it
+    _ticker_files(s, rows, path)
+    return f"{path}/*.csv"
+
+
+def _ticker_files(s, rows, path):
+    """One file per instrument, named after it."""
     for r in rows.select("ticker").distinct().orderBy("ticker").collect():
         sinks.save_csv(rows.where(F.col("ticker") == r.ticker).drop("ticker"), f"{path}/{r.ticker}", one_file=True)
     fs = s._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s._jsparkSession.sessionState().newHadoopConf())
     for part in fs.globStatus(s._jvm.org.apache.hadoop.fs.Path(f"{path}/*/part-*.csv")):
         fs.rename(part.getPath(), s._jvm.org.apache.hadoop.fs.Path(f"{path}/{part.getPath().getParent().getName()}.csv"))
-    return f"{path}/*.csv"
 
 
 query("legacy_csv", _ALL)(lambda s, d: readers.legacy_csv(s, _legacy_folder(s, d)).select(*_COLS))
@@ -114,15 +118,19 @@ def _convert(s, d):
     return store.manifests().select("ticker", "source", "rows")
 
 
-@query("convert_legacy_intraday", "SELECT 0::BIGINT AS stored")
+@query("convert_legacy_intraday", f"WITH {I.HOURLY} SELECT {_BAR_COLUMNS} FROM bars WHERE ticker IN ('click', 'view')")
 def _convert_intraday(s, d):
-    """Files without times are no intraday bars: nothing is left to store."""
-    store = readers.BarStore(s, _folder(s, "store"))
+    """Of files with and without times only the former are intraday bars; a folder without any is refused."""
+    store, path = readers.BarStore(s, _folder(s, "store")), _folder(s, "legacy")
+    hourly, daily = B.from_ticks(I.read(s, d, "events"), B.minutes(60), "event_type").where("ticker in ('click', 'view')"), I.dense(s, d).where("ticker not in ('click', 'view')")
+    both = hourly.select(*_COLS, F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at")).unionByName(daily.select(*_COLS, F.date_format("ts", "yyyy-MM-dd").alias("at")))
+    _ticker_files(s, both.select("ticker", F.col("at").alias("Datetime"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume")), path)
+    sinks.convert_legacy(store, f"{path}/*.csv", "1h")
     try:
         sinks.convert_legacy(store, _legacy_folder(s, d), "1h")
     except P.ValidationError:
-        pass
-    return s.createDataFrame([(store.bars("1h").count(),)], "stored bigint")
+        return store.bars("1h").select(*_COLS)
+    raise AssertionError("bars without times were taken")
 
 
 @query("convert_legacy_deleted", f"WITH {I.DENSE} SELECT {_BAR_COLUMNS}, 0 AS files FROM bars")
@@ -135,6 +143,14 @@ def _convert_deleted(s, d):
     return store.bars("1d").select(*_COLS, F.lit(len(left)).alias("files"))
 
 
+@query("request_windows", "WITH x AS (SELECT event_type AS ticker, min(ts) AS a, least(max(ts), TIMESTAMP '2024-01-20') AS b FROM events GROUP BY event_type) SELECT ticker, '60m' AS interval, greatest(1, ceil(floor(epoch(b) - epoch(a)) / 86400))::INT || 'd' AS range, round(epoch(b) - epoch(a), 3) AS seconds FROM x")
+def _request_windows(s, d):
+    """What a quote service is asked for, for each instrument's first to last tick."""
+    spans = I.read(s, d, "events").groupBy(F.col("event_type").alias("ticker")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()  # a row for each instrument
+    rows = [(r.ticker, readers.request_window("1h", r.a, r.b, datetime(2024, 1, 20)), readers.request_window("1d", r.a, r.b, datetime(2024, 1, 20))) for r in spans]
+    return s.createDataFrame([(t, hours["interval"], hours["range"], (days["end"] - days["start"]).total_seconds()) for t, hours, days in rows], "ticker string, interval string, range string, seconds double").withColumn("seconds", F.round("seconds", 3))
+
+
 @query("universe_csv", f"WITH {I.COMPANIES} SELECT rank, company, trim(ticker) AS ticker FROM companies")
 def _universe_csv(s, d):
     path = _folder(s, "universe")
