@@ -65,6 +65,8 @@ _CONTINUED = re.compile(r"(?:[^\S\n]|\\\n)*")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: types that a declaration may put between a name and its value
 TYPES = frozenset("string str text char varchar bytes".split())
+#: letters that stand before a string literal
+PREFIXES = frozenset("f r b u fr rf br rb".split())
 #: names that say what the value beside them is called, and names of such values
 CALLED, VALUED = frozenset("name key id property".split()), frozenset("value content default".split())
 #: beginnings of the names of calls whose arguments name a secret and don't hold one
@@ -127,6 +129,9 @@ class Lexer:
                 continue
             if kind != "line":
                 self.plus = m.group() == "+"
+            # the letters before a string say how it is read
+            if kind == "name" and m.group().lower() in PREFIXES and text[at : at + 1] in ("'", '"'):
+                continue
             if kind == "name":
                 # a name after a value starts something new
                 if self.target is not None and self.parts:
@@ -197,6 +202,8 @@ class Lexer:
         value, end = m.group(), m.end()
         if value in ("new", "await"):
             return self.bare(end)
+        if value.lower() in PREFIXES and self.text[end : end + 1] in ("'", '"'):
+            return end
         if self.text[end : end + 1] in ("(", "["):
             self.last = value  # a call or an element: what is inside belongs to the target
             return end

@@ -538,3 +538,14 @@ def test_smoothing_keeps_constants():
     import numpy as np
 
     assert np.allclose(html_text.smoothed(np.full(9, 3.0), 1.0), 3.0)
+
+
+@pytest.mark.parametrize("prefix", ["", "f", "r", "b", "u", "Rb", "fR"])
+def test_letters_before_a_literal_are_no_secret(prefix):
+    value = "Zx81qLw9Tn4RbV6kPd2s"
+    text = f'private_key = {prefix}"{value}"\nother = 1\n'
+    _, added = secrets.spans(text)
+    assert [text[a:b] for _, a, b in added] == [value]
+    # a name that ends in such a letter is one
+    text = f'auth_key = "{value}"\nf = auth_key\n'
+    assert [text[a:b] for _, a, b in secrets.spans(text)[1]] == [value]
