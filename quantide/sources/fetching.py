@@ -72,7 +72,8 @@ def fetch_many(source: PriceSource, tickers: Iterable[str], start: date, end: da
 
     def ask(some: list[str]) -> tuple[list[DataFrame], list[tuple[str, str]]]:
         try:
-            rows = source.get_prices(some, start, end, interval)
+            # written once: the source isn't asked again by what reads the bars, and its late errors belong to this batch
+            rows = written(source.get_prices(some, start, end, interval), "fetched")
             got = {r.ticker for r in rows.select("ticker").distinct().collect()}
             return [rows], [(t, "no data") for t in some if t not in got]
         except Exception as error:  # noqa: BLE001

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantide import params as P
 from quantide.operators import annotations, calendar, ingest, kpi, sanitize, universe, validate
 from quantide.service import Service
-from quantide.sources import readers, sinks
+from quantide.sources import fetching, readers, sinks
 
 
 def bars(spark, rows, schema="ticker string, ts timestamp, close double"):
@@ -258,3 +258,19 @@ def test_percent_ranks_by_blocks(spark):
         value = -1.0 if v is None else v
         below, same = sum(x < value for x in own), sum(x == value for x in own)
         assert abs(got[company] - 100 * (below + (same + 1) / 2) / len(own)) < 1e-9
+
+
+def test_late_errors_stay_with_their_instrument(spark):
+    """A source whose table fails only when it is read: the batch is asked for one by one."""
+    bars = spark.range(6).selectExpr("element_at(array('A', 'B', 'C'), cast(id % 3 + 1 as int)) AS ticker", "timestamp'2024-01-02' AS ts", "1.0D AS close")
+
+    class Late:
+        asked: list = []
+
+        def get_prices(self, tickers, start, end, interval):
+            self.asked.append(tickers)
+            return bars.where(F.col("ticker").isin(*tickers)).withColumn("close", F.when(F.col("ticker") == "B", F.raise_error(F.lit("gone")).cast("double")).otherwise(F.col("close")))
+
+    found = fetching.fetch_many(Late(), ["A", "B", "C"], date(2024, 1, 1), date(2024, 1, 3), "1d")
+    assert {r.ticker for r in found.bars.collect()} == {"A", "C"} and [t for t, _ in found.failures] == ["B"]
+    assert Late.asked == [["A", "B", "C"], ["A"], ["B"], ["C"]]
