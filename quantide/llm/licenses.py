@@ -18,6 +18,11 @@ A family is then confirmed by template comparison: of the families that the clas
 that with the nearest template, if enough of the template's word triples, or the paragraph's own, are shared;
 else the paragraph counts as ``unknown``, or as ``none`` where the classifier leans to it.
 
+A short paragraph may name several licences, and a declaration (``License: ...``, ``SPDX-License-Identifier: ...``, a package's
+classifier) may hold no more than a name. So declared values, and the parts of short licence paragraphs between "and", "or" and
+the like, are put into a plain licence phrase and judged in the same way, by the classifier and the templates: a paragraph has each
+family found so, if a declared value or a paragraph that is else ``unknown`` has any, or the parts have several.
+
 Defined results: a null text counts as empty (no findings); offsets are code points,
 end exclusive; documents without findings are in the result with a count of 0;
 rows are judged one by one, so repeated rows and ids get equal results; texts are read
@@ -206,6 +211,15 @@ PHRASES = [
 ]
 STOP = frozenset("a all an and any are as at be by can for from has have if in is it may must no not of on or our part shall should so that the their them this to under use was we were will with without you your".split())
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
+#: words of a paragraph that may name several licences
+SHORT = 25
+#: what declares a licence, and the value declared
+_DECLARED = re.compile(r"(?i)(?:\bspdx-license-identifier|\blicen[cs]e(?:[ _-]expression)?)[\"']?\s*(?:::(?:\s*osi approved\s*::)?|[:=])\s*(\S.{0,119})$")
+_BETWEEN = re.compile(r"(?i)\s+(?:and|or|with)\s+|[,;/|&()]+")
+#: a version written onto a name, versions, and words that only say that it is a licence
+_GLUED = re.compile(r"(?i)\b([al]?gpl|bsd|mpl|epl|apache)-?(v?\d)")
+_VERSION = re.compile(r"(?i)\b(?:version\s*)?v?\d+(?:\.\d+)*\+?(?:-(?:only|or-later))?")
+_KIND = re.compile(r"(?i)\blicen[cs]es?\b")
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -273,6 +287,31 @@ class Model:
         return UNKNOWN if p[NONE] < 0.1 else NONE
 
 
+    def named(self, value: str) -> str | None:
+        """The family of a licence's name, judged in a plain phrase; names are tried with and without their version."""
+        value = _GLUED.sub(r"\1 \2", _KIND.sub(" ", value))
+        for name in (value, _VERSION.sub(" ", value)):
+            words = words_of(f"Licensed under the {name} license")
+            if self.content.isdisjoint(words_of(name)):
+                continue
+            mass, family, similarity = self.nearest(words)
+            if mass >= self.least and similarity >= self.confirmed:
+                return family
+        return None
+
+    def families(self, paragraph: str) -> list[str]:
+        """The families that a paragraph has, or ``unknown`` alone, or none at all."""
+        kind = self.classify(paragraph)
+        declared = _DECLARED.search(paragraph)
+        if not declared and (kind == NONE or len(words_of(paragraph)) > SHORT):
+            return [] if kind == NONE else [kind]
+        parts = _BETWEEN.split(declared.group(1) if declared else paragraph)
+        found = list(dict.fromkeys(f for f in map(self.named, parts) if f))
+        if len(found) > 1 or found and (declared or kind == UNKNOWN):
+            return found
+        return [] if kind == NONE else [kind]
+
+
 def examples(negatives: list[str], rng: random.Random, templates: dict[str, list[str]] = TEMPLATES, copies: int = 8) -> list[tuple[list[str], str]]:
     """Varied templates and the negatives, each with its class."""
     prose = [w for p in negatives for w in words_of(p)[:40]] or ["lorem"]
@@ -417,18 +456,19 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def find(model: Model, text: str | None) -> list[tuple[str, int, int]]:
-    """(family or unknown, start, end) of each paragraph that holds a licence; neighbours of one family are merged."""
+    """(family or unknown, start, end) of each paragraph that holds a licence, once for each of its families; neighbours of one family are merged."""
     if not text:
         return []
     found: list[tuple[str, int, int]] = []
+    last: dict[str, int] = {}
     for start, end, line in paragraphs(text):
-        kind = model.classify(line) if line else NONE
-        if kind == NONE:
-            continue
-        if found and found[-1][0] == kind and found[-1][2] + 1 == start:
-            found[-1] = (kind, found[-1][1], end)
-        else:
-            found.append((kind, start, end))
+        for kind in model.families(line) if line else ():
+            at = last.get(kind, -1)
+            if at >= 0 and found[at][2] + 1 == start:
+                found[at] = (kind, found[at][1], end)
+            else:
+                last[kind] = len(found)
+                found.append((kind, start, end))
     return found
 
 

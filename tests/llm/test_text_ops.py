@@ -549,3 +549,26 @@ def test_letters_before_a_literal_are_no_secret(prefix):
     # a name that ends in such a letter is one
     text = f'auth_key = "{value}"\nf = auth_key\n'
     assert [text[a:b] for _, a, b in secrets.spans(text)[1]] == [value]
+
+
+@pytest.mark.parametrize(
+    ("paragraph", "families"),
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["mit", "apache-2.0"]),
+        ("// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)", ["gpl", "bsd"]),
+        ("SPDX-License-Identifier: CC-BY-4.0", ["cc-by"]),
+        ("Creative Commons Attribution 4.0 International (CC BY 4.0)", ["cc-by"]),
+        ("License :: OSI Approved :: BSD License", ["bsd"]),
+        ("License: GPLv2+", ["gpl"]),
+        ('  "license": "MIT",', ["mit"]),
+        ("Dual licensed under the MIT and GPL licenses.", ["mit", "gpl"]),
+        ("This file may be used under the MIT or the ISC license.", ["mit", "isc"]),
+        ("Released under the MIT License, copyright by the authors and others.", ["mit"]),
+        ("License: a matter for the court and the city", []),
+        ("the river ran over the house, or the stone", []),
+    ],
+)
+def test_declared_and_several_licenses(model, paragraph, families):
+    assert model.families(paragraph) == families
+    found = licenses.find(model, f"first line\n{paragraph}\n{paragraph}\nLast line")
+    assert sorted(k for k, *_ in found) == sorted(families) and all((a, b) == (11, 12 + 2 * len(paragraph)) for _, a, b in found)
