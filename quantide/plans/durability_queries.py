@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+import zlib
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -260,11 +261,19 @@ def _replayed(s, d):
 # -- fetching -------------------------------------------------------------------------------
 
 
+#: instruments of a file of quotes, on average
+_IN_FILE = 160
+
+
+def _file_of(ticker, files):
+    return zlib.crc32((ticker or "").encode()) % files
+
+
 class QuoteFiles:
-    """A source over one JSON file of quotes for each instrument, that notes each time it is asked; ``broken`` names fail."""
+    """A source over JSON files of quotes, dealt by the instrument's hash, that notes each time it is asked; ``broken`` names fail."""
 
-    def __init__(self, path, notes, broken=()):
-        self.path, self.notes, self.broken = path, notes, broken
+    def __init__(self, path, files, notes, broken=()):
+        self.path, self.files, self.notes, self.broken = path, files, notes, broken
 
     def quotes(self, tickers, start, end, interval):
         import json
@@ -277,23 +286,30 @@ class QuoteFiles:
             out.write("\n".join(json.dumps({"ticker": t, "asked": len(tickers)}) for t in tickers).encode())
         if set(tickers) & set(self.broken):
             raise ConnectionError("unreachable")
-        for t in tickers:
-            for found in where.get_file_info(fs.FileSelector(f"{root}/ticker={t}", allow_not_found=True)):
+        asked = set(tickers)
+        for k in sorted({_file_of(t, self.files) for t in asked}):
+            for found in where.get_file_info(fs.FileSelector(f"{root}/file={k}", allow_not_found=True)):
                 if found.base_name.endswith(".json"):
                     with where.open_input_stream(found.path) as lines:
-                        for line in lines.readall().decode().splitlines():
+                        for line in lines.readall().splitlines():
                             q = json.loads(line)
-                            at = datetime.fromisoformat(q["ts"])
-                            if start <= at.date() < end:
-                                yield t, at, q.get("open"), q.get("high"), q.get("low"), q.get("close"), None, q["volume"]
+                            if q.get("ticker") in asked:
+                                at = datetime.fromisoformat(q["ts"])
+                                if start <= at.date() < end:
+                                    yield q.get("ticker"), at, q.get("open"), q.get("high"), q.get("low"), q.get("close"), None, q["volume"]
 
 
 def _quotes(s, d, rows, names, broken=(), batch=40):
     path, notes = _folder(s, "quotes"), _folder(s, "asked")
-    rows.select("ticker", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "open", "high", "low", "close", "volume").repartition("ticker").write.partitionBy("ticker").json(path)
+    files = max(1, -(-len(names) // _IN_FILE))
+    rows = rows.select("ticker", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "open", "high", "low", "close", "volume", F.pmod(F.crc32(F.coalesce("ticker", F.lit(""))), F.lit(files)).alias("file"))
+    # a given number of partitions, which is not lowered by their bytes: opening files takes the time
+    rows.repartition(min(files, int(s.conf.get("spark.sql.shuffle.partitions"))), "file").write.partitionBy("file").json(path)
     uri = lambda x: x if ":" in x else f"file://{x}"
     s.createDataFrame([("x",)], "ticker string").write.json(notes)
-    asking = quotes.Asking(QuoteFiles(uri(path), uri(notes), broken), date(2024, 1, 1), date(2024, 2, 1), "1d", attempts=2, wait=0.01)
+    asking = quotes.Asking(QuoteFiles(uri(path), files, uri(notes), broken), date(2024, 1, 1), date(2024, 2, 1), "1d", attempts=2, wait=0.01)
+    # a batch's instruments lie in one or two files
+    names = sorted(names, key=lambda t: _file_of(t, files))
     return quotes.fetch_quotes(s, asking, names, batch), s.read.schema("ticker string, asked int").json(notes).where("asked is not null")
 
 

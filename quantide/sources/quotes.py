@@ -1,8 +1,9 @@
-"""Fetching as a partitioned read: a Spark data source with a partition for each batch of instruments.
+"""Fetching as a partitioned read: a Spark data source with a partition for each batch of instruments, or for a run of batches beyond ``TASKS``.
 
-The names are dealt into batches when the scan is planned; each task asks the source for its batch, with retries, and once more one by
-one if the batch fails, so a failure stays with its instrument and comes out as a row with a reason. Any number of instruments is one scan.
-Its result is written once, since a scan asks the source again each time it runs; a task that is lost asks again for its batch only.
+The names are dealt into batches when the scan is planned; each task asks the source for its batches, with retries, and once more one by
+one if a batch fails, so a failure stays with its instrument and comes out as a row with a reason. Any number of instruments is one scan.
+Its result is written once, since a scan asks the source again each time it runs; a task that is lost asks again for its batches only.
+Names are sent with the partition that asks for them, so what a task is sent doesn't grow with the number of instruments.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quantide.sources.fetching import BATCH, Fetched
 
 #: a bar: ticker, stamp, open, high, low, close, adjusted close, volume
 Quote = tuple[str, datetime, float | None, float | None, float | None, float | None, float | None, int | None]
+#: partitions of a scan at most
+TASKS = 1_000
 _SCHEMA = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in BARS) + ", reason string"
 
 
@@ -75,21 +78,35 @@ class Asking:
                 yield (t, *[None] * (len(BARS) - 1), "no data")
 
 
-class _Batch(InputPartition):
-    def __init__(self, tickers: list[str]):
+class _Batches(InputPartition):
+    """What a task asks for, one batch after the other."""
+
+    def __init__(self, batches: list[list[str]]):
         super().__init__(0)
-        self.tickers = tickers
+        self.batches = batches
 
 
-def _data_source(asking: Asking, batches: list[list[str]], name: str) -> type[DataSource]:
-    class Reader(DataSourceReader):
-        def partitions(self) -> list[InputPartition]:
-            return [_Batch(b) for b in batches] or [_Batch([])]
+class _Reader(DataSourceReader):
+    def __init__(self, asking: Asking, batches: list[list[str]]):
+        self.asking, self.batches = asking, batches
+
+    def __getstate__(self) -> dict:
+        # every task is sent a copy of the reader: the names stay where the scan is planned
+        return {"asking": self.asking, "batches": []}
+
+    def partitions(self) -> list[InputPartition]:
+        each = max(1, -(-len(self.batches) // TASKS))
+        return [_Batches(self.batches[a : a + each]) for a in range(0, len(self.batches), each)] or [_Batches([])]
 
-        def read(self, partition: _Batch) -> Iterator[tuple]:
-            yield from asking.rows(partition.tickers) if partition.tickers else ()
+    def read(self, partition: _Batches) -> Iterator[tuple]:
+        for batch in partition.batches:
+            yield from self.asking.rows(batch)
 
+
+def _data_source(asking: Asking, batches: list[list[str]], name: str) -> type[DataSource]:
     class Quotes(DataSource):
+        planned = batches
+
         @classmethod
         def name(cls) -> str:
             return name
@@ -98,7 +115,9 @@ def _data_source(asking: Asking, batches: list[list[str]], name: str) -> type[Da
             return _SCHEMA
 
         def reader(self, schema) -> DataSourceReader:
-            return Reader()
+            # tasks are sent this class too, so the process that plans the scan takes the names out of it
+            planned, type(self).planned = type(self).planned, []
+            return _Reader(asking, planned)
 
     return Quotes
 

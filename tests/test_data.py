@@ -274,3 +274,44 @@ def test_late_errors_stay_with_their_instrument(spark):
     found = fetching.fetch_many(Late(), ["A", "B", "C"], date(2024, 1, 1), date(2024, 1, 3), "1d")
     assert {r.ticker for r in found.bars.collect()} == {"A", "C"} and [t for t, _ in found.failures] == ["B"]
     assert Late.asked == [["A", "B", "C"], ["A"], ["B"], ["C"]]
+
+
+def test_tasks_are_sent_their_own_names(spark):
+    """What every task is sent doesn't hold the names of the others, and the number of tasks has a bound."""
+    from pyspark import cloudpickle
+
+    from quantide.sources import quotes
+
+    class One:
+        def quotes(self, tickers, start, end, interval):
+            return [(t, datetime(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, None, 1) for t in tickers]
+
+    asking = quotes.Asking(One(), date(2024, 1, 1), date(2024, 1, 3), "1d")
+    sizes = []
+    for n in (50, 50_000):
+        names = [f"name-{k}" for k in range(n)]
+        source = quotes._data_source(asking, [names[a : a + 10] for a in range(0, n, 10)], "sizes")({})
+        reader = source.reader(None)
+        sizes.append(len(cloudpickle.dumps((reader, source))))
+        parts = reader.partitions()
+        assert len(parts) <= 1000 and [t for p in parts for b in p.batches for t in b] == names
+    assert sizes[1] < sizes[0] + 100
+    scan = quotes.quote_scan(spark, asking, [f"n{k}" for k in range(1050)], batch=1)
+    assert sorted(r.ticker for r in scan.select("ticker").collect()) == sorted(f"n{k}" for k in range(1050))
+    assert scan.rdd.getNumPartitions() == 525
+
+
+def test_quotes_lie_in_files_of_many_instruments(spark):
+    from quantide.plans import durability_queries as D
+
+    rows = spark.range(2000).selectExpr("concat('t/', id % 1000) AS ticker", "timestamp'2024-01-02' + make_interval(0, 0, 0, cast(id div 1000 as int)) AS ts", "1.0D AS open", "2.0D AS high", "1.0D AS low", "id * 0.1D AS close", "id AS volume")
+    folders = []
+    with pytest.MonkeyPatch.context() as m:
+        folder = D._folder
+        m.setattr(D, "_folder", lambda s, name: folders.append(folder(s, name)) or folders[-1])
+        got, asked = D._quotes(spark, None, rows, [f"t/{k}" for k in range(1000)])
+    names = ("ticker", "ts", "close", "volume")
+    assert sorted(got.bars.select(*names).collect()) == sorted(rows.select(*names).collect()) and got.failures == []
+    assert asked.count() == 1000
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folders[0]).select("path")
+    assert files.count() == 7
