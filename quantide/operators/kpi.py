@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantide.functions.shared import written
-from quantide.operators.order_stats import average_ranks, quantiles
+from quantide.operators.order_stats import average_ranks, block_quantiles, quantiles, value_blocks
 
 #: sectors whose aggregates are broadcast; beyond it they are joined by a shuffle
 BROADCAST_SECTORS = 20_000
@@ -42,10 +42,15 @@ def smoothed(panel: DataFrame, features: list[str], window: int = 4) -> DataFram
     return panel.withColumns({f: F.avg(f).over(w) for f in features})
 
 
-def _sector_quantiles(panel: DataFrame, features: list[str], qs: list[float]) -> DataFrame:
+def _clipped(f: str) -> Column:
+    """A value between the first two of its quantiles; null stays null."""
+    return F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), F.col(f"{f}_q")[0]), F.col(f"{f}_q")[1]))
+
+
+def _sector_quantiles(panel: DataFrame, features: list[str], qs: list[float], clipped: list[float] | None = None) -> DataFrame:
     """_s and <feature>_q: quantiles; joined back, a sector has one row here whatever its size."""
     long = panel.select(F.col("sector").alias("_s"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select("_s", "x.*")
-    q = quantiles(long, ["_s", "feature"], qs)
+    q = quantiles(long, ["_s", "feature"], qs, clipped=clipped)
     # a row for each feature of a sector
     return q.groupBy("_s").agg(*[F.any_value(F.when(F.col("feature") == f, F.col("q")), ignoreNulls=True).alias(f"{f}_q") for f in features])
 
@@ -56,11 +61,11 @@ def _with_quantiles(panel: DataFrame, features: list[str], qs: list[float]) -> D
 
 def winsorised(panel: DataFrame, features: list[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     j = _with_quantiles(panel, features, [lower, upper])
-    return j.withColumns({f: F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), F.col(f"{f}_q")[0]), F.col(f"{f}_q")[1])) for f in features}).select(panel.columns)
+    return j.withColumns({f: _clipped(f) for f in features}).select(panel.columns)
 
 
-def _iqr(f: str) -> Column:
-    d = F.col(f"{f}_q")[2] - F.col(f"{f}_q")[0]
+def _iqr(f: str, at: int = 0) -> Column:
+    d = F.col(f"{f}_q")[at + 2] - F.col(f"{f}_q")[at]
     return F.when(d.isNull() | (d == 0), F.lit(1.0)).otherwise(d)
 
 
@@ -69,6 +74,12 @@ def scaled(panel: DataFrame, features: list[str]) -> DataFrame:
     return j.withColumns({f: (F.col(f) - F.col(f"{f}_q")[1]) / _iqr(f) for f in features}).select(panel.columns)
 
 
+def winsorised_and_scaled(panel: DataFrame, features: list[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+    """What ``scaled`` gives after ``winsorised``, with one pass for the quantiles of both."""
+    j = by_sector(panel, _sector_quantiles(panel, features, [lower, upper], [0.25, 0.5, 0.75]))
+    return j.withColumns({f: (_clipped(f) - F.col(f"{f}_q")[3]) / _iqr(f, 2) for f in features}).select(panel.columns)
+
+
 def scale_params(panel: DataFrame, features: list[str]) -> DataFrame:
     """sector, feature, median and iqr as ``scaled`` uses them."""
     q = _sector_quantiles(panel, features, [0.25, 0.5, 0.75])
@@ -128,24 +139,32 @@ def components(panel: DataFrame, features: list[str], variance: float = 0.7) ->
     return g.select("_s", "n", "means", "cov", "whole").mapInPandas(solve, "_s string, means array<double>, loadings array<array<double>>, ratios array<double>")
 
 
-def pca_scores(panel: DataFrame, features: list[str], variance: float = 0.7) -> DataFrame:
-    """Variance-weighted sum of the first components that explain ``variance``, clipped at its sector's 2nd and 98th percentile and ranked there."""
-    x = by_sector(panel, components(panel, features, variance))
-    centred = F.array(*[F.col(f) - F.col("means")[k] for k, f in enumerate(features)])
-    dot = lambda v: F.aggregate(F.zip_with(v, centred, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    x = x.withColumn("_pcs", F.transform("loadings", dot))
-    x = x.withColumn("_raw", F.when(F.col("_pcs").isNotNull(), F.aggregate(F.zip_with("_pcs", "ratios", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)))
+def pca_scores(panel: DataFrame, features: list[str], variance: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    """Variance-weighted sum of the first components that explain ``variance``, clipped at its sector's 2nd and 98th percentile and ranked there.
 
-    def along(k: int) -> Column:
-        """What feature k has of the row's position along the components."""
-        return F.aggregate(F.zip_with("_pcs", "loadings", lambda a, v: a * v[k]), F.lit(0.0), lambda s, y: s + y)
-
-    back = {f"contrib_{f}": along(k) for k, f in enumerate(features)}
-    x = written(x.withColumns(back).drop("_pcs", "loadings", "ratios", "means"), "components")
-    j = _with_quantiles(x, ["_raw"], [0.02, 0.98])
-    j = j.withColumn("_raw", F.when(F.col("_raw").isNotNull(), F.least(F.greatest(F.col("_raw"), F.col("_raw_q")[0]), F.col("_raw_q")[1]))).drop("_raw_q")
-    out = percent_ranked(j, "_raw", "score").withColumn("score", F.when(F.col("_raw").isNotNull(), F.col("score")))
-    return out.select(*panel.columns, "score", *back)
+    ``keep`` names the panel's columns to keep, all by default, the sector among them. The panel is read twice.
+    """
+    keep = panel.columns if keep is None else keep
+    small = written(components(panel, features, variance), "loadings")
+    # a column for each number, up to the most components of a sector: generated code stays short, where functions on arrays run outside it
+    ks, js = range(len(features)), range(small.agg(F.max(F.size("loadings"))).first()[0] or 1)
+    number = lambda *at: reduce(lambda x, k: F.get(x, F.lit(k)), at[1:], F.col(at[0]))
+    numbers = {f"_m{k}": number("means", k) for k in ks} | {f"_r{j}": number("ratios", j) for j in js} | {f"_l{j}_{k}": number("loadings", j, k) for j in js for k in ks}
+    x = by_sector(panel, small.select("_s", *[c.alias(name) for name, c in numbers.items()]))
+    total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
+    x = x.withColumns({f"_c{k}": F.col(f) - F.col(f"_m{k}") for k, f in enumerate(features)})
+    x = x.withColumns({f"_pc{j}": total(F.col(f"_l{j}_{k}") * F.col(f"_c{k}") for k in ks) for j in js})
+    # a sector has the first component, or none; it may have fewer than others
+    along = lambda name: total(t if j == 0 else F.coalesce(t, F.lit(0.0)) for j in js for t in [F.col(f"_pc{j}") * F.col(name.format(j=j))])
+    # what a feature has of the row's position along the components
+    back = {f"contrib_{f}": along(f"_l{{j}}_{k}") for k, f in enumerate(features)}
+    x = written(x.select(*keep, along("_r{j}").alias("_raw"), *[c.alias(name) for name, c in back.items()]), "components")
+    # the values are counted once, for quantiles and ranks
+    blocks = value_blocks(x, ["sector"], "_raw", "raw")
+    q = written(block_quantiles(blocks.where("_raw IS NOT NULL"), ["sector"], [0.02, 0.98], "_raw").select(F.col("sector").alias("_s"), F.col("q").alias("_raw_q")), "limits")
+    clip = lambda df: by_sector(df, q).withColumn("_raw", _clipped("_raw")).drop("_raw_q")
+    out = average_ranks(clip(x), ["sector"], "_raw", clip(blocks.drop("_block"))).withColumn("score", F.when(F.col("_raw").isNotNull(), 100 * F.col("_rank") / F.col("_total")))
+    return out.select(*keep, "score", *back)
 
 
 def logit_models(rows: DataFrame, features: list[str], label: str, folds: int, c: float = 1.0, steps: int = 25) -> DataFrame:
@@ -237,17 +256,22 @@ def model_info(panel: DataFrame, features: list[str], higher_is_better: dict[str
 def rescaled(scored: DataFrame) -> DataFrame:
     """health_score: the score clipped to its 1st and 99th percentile over all rows, put on 0 to 100."""
     scored = written(scored, "scores")
+    return scored.withColumn("health_score", _on_100(scored))
+
+
+def _on_100(scored: DataFrame) -> Column:
+    """health_score of the scores, which are read now."""
     q = quantiles(scored.select(F.lit(0).alias("k"), "score"), ["k"], [0.01, 0.99], "score").first()
     lo, hi = (F.lit(v).cast("double") for v in (q["q"] if q else (None, None)))
     clipped = F.when(F.col("score").isNotNull(), F.least(F.greatest(F.col("score"), lo), hi))
-    return scored.withColumn("health_score", (clipped - lo) / F.greatest(hi - lo, F.lit(1e-9)) * 100)
+    return (clipped - lo) / F.greatest(hi - lo, F.lit(1e-9)) * 100
 
 
 def prepared(panel: DataFrame, features: list[str], higher_is_better: dict[str, bool] | None = None, smooth: int | None = 4, winsorise: bool = True) -> DataFrame:
     out = imputed(written(panel, "panel"), features)
     out = written(smoothed(out, features, smooth) if smooth else out, "smoothed")
-    out = winsorised(out, features) if winsorise else out
-    return aligned(scaled(out, features), higher_is_better or dict.fromkeys(features, True))
+    out = winsorised_and_scaled(out, features) if winsorise else scaled(out, features)
+    return aligned(out, higher_is_better or dict.fromkeys(features, True))
 
 
 def health_scores(panel: DataFrame, features: list[str], higher_is_better: dict[str, bool] | None = None, label: str | None = None, mode: str = "pca", bootstrap: bool = True) -> DataFrame:
@@ -256,6 +280,7 @@ def health_scores(panel: DataFrame, features: list[str], higher_is_better: dict[
     if label is not None and not panel.where(F.col(label).isNotNull()).isEmpty():
         scored = logit_scores(ready, features, label)
     else:
-        scored = pca_scores(ready, features) if mode == "pca" else fallback_scores(ready, features)
-    scored = with_bootstrap(scored) if bootstrap else scored.withColumn("health_se", F.lit(0.0))
-    return rescaled(scored).select("company", "date", "sector", "health_score", "health_se", *[f"contrib_{f}" for f in features])
+        scored = pca_scores(ready, features, keep=["company", "date", "sector"]) if mode == "pca" else fallback_scores(ready, features)
+    scored = written(scored.select("company", "date", "sector", "score", *[f"contrib_{f}" for f in features]), "scores")
+    out = with_bootstrap(scored) if bootstrap else scored.withColumn("health_se", F.lit(0.0))
+    return out.withColumn("health_score", _on_100(scored)).select("company", "date", "sector", "health_score", "health_se", *[f"contrib_{f}" for f in features])

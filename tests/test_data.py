@@ -227,6 +227,49 @@ def test_components_against_numpy(spark):
     assert short.score is None
 
 
+def test_scores_read_the_panel_few_times(spark, monkeypatch):
+    """One pass for both stages' quantiles, one count for quantiles and ranks: the results of the single stages, from fewer tables."""
+    from quantide.operators import kpi, order_stats
+
+    names, made = ["x", "y", "z"], []
+    panel = _panel_rows(spark)[1].drop("label")
+    both = {r.company: r for r in kpi.winsorised_and_scaled(panel, names).collect()}
+    for r in kpi.scaled(kpi.winsorised(panel, names), names).collect():
+        assert tuple(both[r.company]) == tuple(r)
+    blocks, tables = order_stats.value_blocks, kpi.written
+    note = lambda f, at: lambda *a, **k: made.append(a[at]) or f(*a, **k)
+    monkeypatch.setattr(kpi, "written", note(tables, 1))
+    for module in (order_stats, kpi):
+        monkeypatch.setattr(module, "value_blocks", note(blocks, 3))
+    out = kpi.health_scores(panel, names)
+    assert out.count() == 60 and sorted(t for t in made if t in ("quantiles", "raw", "ranks")) == ["quantiles"] * 3 + ["ranks", "raw"]
+    assert "ranking" not in made and made.count("scores") == 1
+
+
+def test_sectors_with_different_numbers_of_components(spark):
+    """One sector needs one component, one two, one has none."""
+    import numpy as np
+    import pandas as pd
+
+    from quantide.operators import kpi
+
+    rng = np.random.default_rng(7)
+    scale = {"one": (9, 0.1), "two": (1, 1)}
+    rows = [(f"{s}{k}", s, *(float(v) for v in rng.standard_normal(2) * scale[s])) for s in scale for k in range(40)] + [("alone", None, 1.0, 2.0)]
+    panel = spark.createDataFrame(rows, "company string, sector string, x double, y double")
+    sizes = {r["_s"]: len(r.ratios) for r in kpi.components(panel, ["x", "y"]).collect()}
+    assert sizes == {"one": 1, "two": 2}
+    got = {r.company: r for r in kpi.pca_scores(panel, ["x", "y"], keep=["company", "sector"]).collect()}
+    assert len(got) == len(rows) and got["alone"].score is None and got["alone"].contrib_x is None
+    for r in kpi.components(panel, ["x", "y"]).collect():
+        own = [x for x in rows if x[1] == r["_s"]]
+        v, c = np.array(r.loadings), np.array([x[2:] for x in own]) - np.array(r.means)
+        raw = pd.Series(((c @ v.T) * r.ratios).sum(axis=1))
+        want = 100 * raw.clip(raw.quantile(0.02), raw.quantile(0.98)).rank(pct=True)
+        for x, score, back in zip(own, want, c @ v.T @ v, strict=True):
+            assert abs(got[x[0]].score - score) < 1e-9 and abs(got[x[0]].contrib_y - back[1]) < 1e-9
+
+
 def test_logistic_models_against_plain_newton(spark):
     import numpy as np
 

@@ -117,3 +117,22 @@ def test_supervision_gives_up_and_stops(spark, tmp_path):
     stop = threading.Event()
     assert S.supervised(start(lambda batch, number: stop.set(), "b"), stop=stop) == []
     assert not [q for q in spark.streams.active if q.name == "b"]
+
+
+def test_quantiles_of_clipped_values_in_the_same_pass(spark):
+    data = [*rows(5), *[("pair", v) for v in (1.0, 4.0)], *[("three", v) for v in (-2.0, 0.5, 9.0)]]
+    inner = [0.25, 0.5, 0.75]
+    got = {r.g: r.q for r in order_stats.quantiles(spark.createDataFrame(data, "g string, value double"), ["g"], [0.01, 0.99], clipped=inner).collect()}
+    for g in {g for g, v in data if v is not None}:
+        values = [v for x, v in data if x == g and v is not None]
+        lo, hi = np.quantile(values, [0.01, 0.99])
+        assert np.allclose(got[g], [lo, hi, *np.quantile(np.clip(values, lo, hi), inner)], rtol=1e-12, atol=1e-9)
+
+
+def test_average_ranks_of_counted_values(spark):
+    data = rows(6)
+    frame = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "i int, g string, value double")
+    # counted in two halves, which are put together
+    counted = frame.groupBy("g", "value", (F.col("i") % 2).alias("half")).agg(F.count(F.lit(1)).alias("n")).drop("half")
+    read = lambda df: sorted((r.i, r["_rank"], r["_total"]) for r in df.collect())
+    assert read(order_stats.average_ranks(frame, ["g"], "value", counted)) == read(order_stats.average_ranks(frame, ["g"], "value"))
