@@ -90,10 +90,15 @@ query("kpi_pca_scores", f"""WITH {_COMP}, raw AS (SELECT company, date, sector,
 cut AS (SELECT *, least(greatest(pc * ratio, quantile_cont(pc * ratio, 0.02) {_W}), quantile_cont(pc * ratio, 0.98) {_W}) AS r FROM raw)
 SELECT company, strftime(date, '%Y-%m-%d') AS date, sector, round(100.0 * (rank() OVER (PARTITION BY sector ORDER BY r) + (count(*) OVER (PARTITION BY sector, r) - 1) / 2.0) / count(*) {_W}, 6) AS score,
        round(pc * v1, 6) AS contrib_n_orders, round(pc * v2, 6) AS contrib_revenue FROM cut""")(
-    lambda s, d: kpi.pca_scores(_ready(s, d).select("company", "date", "sector", *_TWO), _TWO, 0.01).drop(*_TWO)
+    lambda s, d: kpi.pca_scores(_ready_two(s, d), _TWO, 0.01, keep=["company", "date", "sector"])
 )
 
 
+def _ready_two(s, d):
+    """All rows, with the two features scored: each is prepared by itself."""
+    return kpi.prepared(I.panel(s, d).select("company", "date", "sector", *_TWO), _TWO, {f: UP[f] for f in _TWO})
+
+
 def _newton(steps: int) -> str:
     """SQL of Newton's steps of a balanced logistic regression with one feature f."""
     out = []

@@ -358,3 +358,15 @@ def test_quotes_lie_in_files_of_many_instruments(spark):
     assert asked.count() == 1000
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folders[0]).select("path")
     assert files.count() == 7
+
+
+def test_two_features_are_prepared_alone(spark):
+    """kpi_pca_scores prepares the features it scores, and no others."""
+    import os
+
+    from quantide.plans import kpi_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    assert Q._ready_two(spark, sf).columns == ["company", "date", "sector", "n_orders", "revenue"]
